@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_join
+from . import bpe, decontaminate, near_join
 
 QUERIES = {
     "op1_ngram_jaccard_join": near_join.op1_ngram_jaccard_join,
+    "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+}
