@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import documents
@@ -46,24 +46,28 @@ def tree(shards: int, base: int | None = None, per_rack: int = RACK, per_region:
     return group("root", regions)
 
 
-def draw(key: Column, child: Node) -> Column:
-    """The weighted hash draw of a child: exponential with the child's weight as its rate."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(child.name)), 11)
-    return -F.log((bits.cast("double") + 0.5) / F.lit(float(2**53))) / F.lit(child.weight)
+def _literal(nodes) -> str:
+    """SQL array of children as structs of name, weight and leaf."""
+    return "array(" + ", ".join(f"named_struct('name', '{n.name}', 'weight', double({n.weight!r}), 'leaf', {n.leaf})" for n in nodes) + ")"
 
 
-def descend(key: Column, node: Node) -> Column:
-    """Column int: the shard to which a key descends from a node."""
-    if not node.children:
-        return F.lit(node.leaf)
-    if len(node.children) == 1:
-        return descend(key, node.children[0])
-    draws = [draw(key, child) for child in node.children]
-    least = F.array_position(F.array(*draws), F.array_min(F.array(*draws)))
-    out = F.when(least == 1, descend(key, node.children[0]))
-    for i, child in enumerate(node.children[1:], 2):
-        out = out.when(least == i, descend(key, child))
-    return out
+def _pick(children: str, key: str) -> str:
+    """SQL: position and leaf of the child with the least draw, exponential with the child's weight as its rate."""
+    uniform = f"(shiftrightunsigned(xxhash64({key}, c.name), 11) + 0.5D) / {2**53}D"
+    return f"array_min(transform({children}, (c, i) -> named_struct('draw', -ln({uniform}) / c.weight, 'at', i, 'leaf', c.leaf)))"
+
+
+def descend(rows: DataFrame, node: Node, key: str, out: str) -> DataFrame:
+    """Adds the int column `out`: the shard to which column `key` descends from the root over region and rack."""
+    regions = node.children
+    racks = "array(" + ", ".join(_literal(r.children) for r in regions) + ")"
+    leaves = "array(" + ", ".join("array(" + ", ".join(_literal(k.children) for k in r.children) + ")" for r in regions) + ")"
+    return (
+        rows.withColumn("__region", F.expr(_pick(_literal(regions), key) + ".at"))
+        .withColumn("__rack", F.expr(_pick(f"get({racks}, __region)", key) + ".at"))
+        .withColumn(out, F.expr(_pick(f"get(get({leaves}, __region), __rack)", key) + ".leaf"))
+        .drop("__region", "__rack")
+    )
 
 
 def placed(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = BUCKETS, weights: dict[int, float] | None = None) -> DataFrame:
@@ -79,12 +83,9 @@ def placed(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_c
     rows = docs.select(
         F.col(id_col).alias("doc_id"), key.alias("key"), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32")
     )
-    rows = rows.select(
-        "*",
-        descend(F.col("key"), tree(shards, weights=weights)).alias("shard"),
-        descend(F.col("key"), tree(shards + 1, shards, weights=weights)).alias("grown_shard"),
-        F.pmod(F.xxhash64("key", F.lit("slot")), F.lit(buckets)).cast("int").alias("bucket"),
-    )
+    rows = descend(rows, tree(shards, weights=weights), "key", "shard")
+    rows = descend(rows, tree(shards + 1, shards, weights=weights), "key", "grown_shard")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit("slot")), F.lit(buckets)).cast("int"))
     cells = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = "coalesce(sum(n) over (partition by shard order by bucket rows between unbounded preceding and 1 preceding), 0)"
     offsets = cells.select("shard", "bucket", F.expr(before).alias("before"))  # at most shards x buckets rows
