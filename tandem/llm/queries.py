@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, near_join, quality, sharding
+from . import bpe, decontaminate, exact_dedup, lm_score, near_join, quality, sharding
 
 QUERIES = {
     "op1_ngram_jaccard_join": near_join.op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_lm_scoring": lm_score.op3_lm_scoring,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
     "op9_quality_classifier": quality.op9_quality_classifier,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op3_lm_scoring": lm_score.op3_lm_scoring,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
