@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, lm_score, near_join, quality, sharding
+from . import bpe, decontaminate, exact_dedup, lm_score, near_join, passages, quality, sharding
 
 QUERIES = {
     "op1_ngram_jaccard_join": near_join.op1_ngram_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm_scoring": lm_score.op3_lm_scoring,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_bpe_encode_decode": bpe.op7_bpe_encode_decode,
+    "op8_substring_dedup": passages.op8_substring_dedup,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_sharding": sharding.op10_sharding,
 }
