@@ -36,25 +36,22 @@ def alias_map(renames: DataFrame) -> DataFrame:
     return renames.withColumn("__last", last).where("__last = 1").select("old_path", "new_path")
 
 
-def closure(aliases: DataFrame, max_rounds: int = 32) -> DataFrame:
-    """old_path, canonical: the end of each chain of aliases, by doubling; a walk into a cycle ends where it first repeats.
+def closure(aliases: DataFrame, max_rounds: int = 256) -> DataFrame:
+    """old_path, canonical: the end of each chain of aliases; a walk into a cycle ends at the first name it meets again.
 
-    A chain of n renames takes log2(n) equi-joins. Names on a cycle come back to themselves.
+    Each round moves every open walk on by one equi-join, so there are as many rounds as the longest chain has renames.
     """
-    ends = aliases.select("old_path", F.col("new_path").alias("at"), F.array("old_path").alias("seen"))
+    steps = aliases.select(F.col("old_path").alias("place"), F.col("new_path").alias("next"))
+    walks = aliases.select("old_path", F.col("new_path").alias("place"), F.array("old_path").alias("seen"))
+    ended = None
     for _ in range(max_rounds):
-        step = ends.select(F.col("old_path").alias("at"), F.col("at").alias("__next"), F.col("seen").alias("__seen"))
-        moved = ends.join(step, "at", "left").select(
-            "old_path",
-            F.when(F.col("__next").isNull() | F.array_contains("seen", F.col("at")), F.col("at")).otherwise(F.col("__next")).alias("at"),
-            F.when(F.col("__next").isNull() | F.array_contains("seen", F.col("at")), F.col("seen")).otherwise(F.array_union("seen", "__seen")).alias("seen"),
-            (F.col("__next").isNotNull() & ~F.array_contains("seen", F.col("at"))).alias("open"),
-        )
-        moved = cut(moved)
-        ends = moved.select("old_path", "at", "seen")
-        if moved.where("open").isEmpty():
-            break
-    return ends.select("old_path", F.col("at").alias("canonical"))
+        moved = cut(walks.join(steps, "place", "left").withColumn("open", F.col("next").isNotNull() & ~F.array_contains("seen", F.col("place"))))
+        done = moved.where("not open").select("old_path", F.col("place").alias("canonical"))
+        ended = done if ended is None else ended.unionByName(done)
+        walks = moved.where("open").select("old_path", F.col("next").alias("place"), F.concat("seen", F.array("place")).alias("seen"))
+        if walks.isEmpty():
+            return ended
+    raise RuntimeError(f"a chain of renames is longer than {max_rounds}")
 
 
 def canonical(baskets: DataFrame, ends: DataFrame) -> DataFrame:
