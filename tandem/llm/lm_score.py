@@ -11,6 +11,8 @@ join. Token counts for the unigram base are looked up in the same way.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -21,8 +23,9 @@ from . import bytetext as bt
 from .store import documents, written
 
 ORDER = 5
-COMMON = 1 << 20
+COMMON = 1 << 19
 HELD = 1 << 21
+SLICE = 1 << 20
 SIGN = np.int64(-(2**63))
 
 
@@ -61,7 +64,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         self.tables, rest = [], np.arange(len(keys))
         for _ in range(4):
-            bits = max(4, int(len(rest)).bit_length() + 1)
+            bits = max(4, int(len(rest)).bit_length())
             slot = self._slot(keys[rest], bits)
             owner = np.zeros(1 << bits, np.int64)
             owner[slot] = rest
@@ -118,7 +121,7 @@ def _count(order: int):
 
         for batch in batches:
             training = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, data, offsets in bt.slices(batch.column(0)):
+            for lo, hi, data, offsets in bt.slices(batch.column(0), SLICE):
                 own = training[lo:hi]
                 coded = Coded(data, offsets, order)
                 keys, first = coded.run_keys()
@@ -203,23 +206,23 @@ def _floor(table: DataFrame, limit: int) -> int:
     return least
 
 
-_TABLES: dict[int, tuple[Lookup, Lookup]] = {}
+_TABLES: dict[str, tuple[Lookup, Lookup]] = {}
 
 
-def _tables(source) -> tuple[Lookup, Lookup]:
-    value = source.value
-    if id(value) not in _TABLES:
+def _tables(source, name: str) -> tuple[Lookup, Lookup]:
+    """The tables of a broadcast, made once in each Python worker."""
+    if name not in _TABLES:
         _TABLES.clear()
-        _TABLES[id(value)] = (Lookup(*value[0]), Lookup(*value[1]), value)
-    return _TABLES[id(value)][:2]
+        _TABLES[name] = tuple(Lookup(*part) for part in source.value)
+    return _TABLES[name]
 
 
-def _score(source, order: int, end_value: float, end_known: int):
+def _score(source, name: str, order: int, end_value: float, end_known: int):
     def run(batches):
-        tokens, runs = _tables(source)
+        tokens, runs = _tables(source, name)
         uid = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for lo, hi, data, offsets in bt.slices(batch.column(1)):
+            for lo, hi, data, offsets in bt.slices(batch.column(1), SLICE):
                 coded = Coded(data, offsets, order)
                 ids = np.arange(uid, uid + hi - lo)
                 uid += hi - lo
@@ -287,7 +290,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
     source = docs.sparkSession.sparkContext.broadcast(near)  # at most 2 x `common` keys, whatever the corpus
     schema = "uid long, key long, times long, main struct<doc_id: long, n_tokens: long, n_known: long, base: double, score: double>"
-    parts = rows.select("doc_id", "text").mapInArrow(_score(source, order, float(np.log10((trained + 0.5) / spread)), int(trained > 0)), schema)
+    parts = rows.select("doc_id", "text").mapInArrow(_score(source, uuid.uuid4().hex, order, float(np.log10((trained + 0.5) / spread)), int(trained > 0)), schema)
     value = F.col("times") * F.coalesce("value", F.when(F.col("key") < 0, unknown).otherwise(0.0))
     joined = parts.join(tail[0].unionByName(tail[1]), "key", "left").select(
         "uid", "main",
