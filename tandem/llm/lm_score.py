@@ -142,7 +142,7 @@ def _count(order: int):
         if held:
             yield from rows(_summed(*(np.concatenate(c) for c in zip(*held))))
 
-    return run
+    return bt.frugal(run)
 
 
 def run_scores(counts: DataFrame, order: int) -> DataFrame:
@@ -255,7 +255,7 @@ def _score(source, name: str, order: int, end_value: float, end_known: int):
                         [pa.array(ids[row[new]]), pa.array(keys[new]), pa.array(times), pa.nulls(len(new), main.type)], ["uid", "key", "times", "main"]
                     )
 
-    return run
+    return bt.frugal(run)
 
 
 def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", *, order: int = ORDER, common: int = COMMON) -> DataFrame:

@@ -70,7 +70,7 @@ def _signatures(shingle: int, trees: int, max_depth: int, levels: list[int]):
                 columns.append(pa.ListArray.from_arrays(at, pa.array(keys[~empty].astype(np.int64).ravel(), pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set_id", "n_shingles", *[f"k{i}" for i in range(len(levels))]])
 
-    return run
+    return bt.frugal(run)
 
 
 def block_links(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, threshold: float, cross: bool):
@@ -133,7 +133,7 @@ def _verify(shingle: int, threshold: float):
                         rows[int(ids[i])] = (own, side[i], weight[i])
         yield from flush()
 
-    return run
+    return bt.frugal(run)
 
 
 def near_join(
