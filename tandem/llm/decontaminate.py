@@ -87,8 +87,10 @@ def find(test: TestItems, hashes: np.ndarray, first: np.ndarray):
     if not len(test.starts) or not len(hashes):
         return none, none, none
     ids = test.ids(hashes)
-    stop = np.unique(np.concatenate((np.flatnonzero(ids == 0), first[1:])))
-    reach = stop[np.searchsorted(stop, np.arange(len(ids)))] - np.arange(len(ids))
+    at = np.arange(len(ids))
+    unknown = np.append(np.flatnonzero(ids == 0), len(ids))
+    ends = np.append(first[1:], len(ids))
+    reach = np.minimum(unknown[np.searchsorted(unknown, at)], ends[np.searchsorted(ends, at, "right")]) - at
     suffix = np.flatnonzero(reach >= test.lengths.min())
     if not len(suffix):
         return none, none, none
@@ -155,7 +157,7 @@ def _scan(items, window: int):
             }
             yield pa.RecordBatch.from_arrays([columns[name] for name in names], names)
 
-    return run
+    return bt.frugal(run)
 
 
 def contamination(
