@@ -65,7 +65,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = units.select("doc_id", F.size("units").cast("long").alias("n_units"), F.expr(f"transform(units, (u, i) -> named_struct('unit', i, 'pairs', {bigrams('u')}))").alias("sets"))
     near = sets.withColumn("sets", F.expr(f"filter(sets, s -> arrays_overlap(s.pairs, {every}))"))
     ratio = threshold / (2 - threshold)
-    bound = f"size(s.pairs) >= t.n * {ratio!r}D and size(s.pairs) <= t.n / {ratio!r}D"
+    bound = f"size(s.pairs) >= t.n * {ratio!r}D - 1e-9D and size(s.pairs) <= t.n / {ratio!r}D + 1e-9D"
     dice = "2D * size(array_intersect(s.pairs, t.pairs)) / (size(s.pairs) + t.n)"
     scored = near.withColumn(
         "pairs", F.expr(f"flatten(transform(sets, s -> transform(filter({literal}, t -> {bound}), t -> named_struct('unit', s.unit, 'name', t.name, 'dice', {dice}))))")
