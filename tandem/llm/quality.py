@@ -88,7 +88,7 @@ def _vectors(bits: int):
                 ["label", "index", "value"],
             )
 
-    return run
+    return bt.frugal(run)
 
 
 def train_ftrl(rows, bits: int = BITS, *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 4) -> np.ndarray:
@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     key = F.col(id_col).cast("string")
     known = labels.where(F.col(label_col).isNotNull() & key.isNotNull() & (F.crc32(key) % 4 != 2))
     chosen = known.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("label")).orderBy(F.xxhash64("__id"), "__id", "label").limit(sample)
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select("label", F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("label", "text")
     found = rows.mapInArrow(_vectors(bits), "label double, index array<int>, value array<float>").toArrow()
     if not found.num_rows:
         return None
@@ -156,7 +157,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", t
                 out.append(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out or [np.zeros(0)]))], ["doc_id", "score"])
 
-    scored = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = rows.mapInArrow(bt.frugal(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
