@@ -22,11 +22,12 @@ KINDS = ("email", "ip", "card", "phone")
 MARK, SPARE = "\x01", "\x02"
 EXAMPLES, TREES, DEPTH, RATE, PRECISION = 2000, 24, 3, 0.3, 0.99
 
-# The lookbehinds only skip starts from which the same run has failed already; \G allows one right after a match.
+# The lookbehinds only skip starts from which the same run has failed already; \G allows one right after a match. A run of
+# fewer than twelve digits can't be a card, nor can any part of it, so the card pattern passes over it.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDE = {
@@ -101,11 +102,15 @@ def valid(kind: str, text: Column) -> Column:
     }[kind]
 
 
-def base_spans(text: Column, kind: str) -> Column:
+def base_parts(text: Column, kind: str) -> Column:
+    """The text parted by a kind's base pattern; whole where it can't match."""
     guard = {"email": "@", "phone": "+", "ip": ".", "card": None}[kind]
-    found = F.filter(located(_parts(text, BASE[kind])), lambda s: valid(kind, s["text"]))
-    need = text.contains(guard) if guard else F.lit(True)
-    return F.when(need, found).otherwise(F.array().cast(_SPANS))
+    found = _parts(text, BASE[kind])
+    return F.when(text.contains(guard), found).otherwise(F.array(text)) if guard else found
+
+
+def wide_parts(text: Column, kind: str) -> Column:
+    return F.when(text.rlike(NEEDED[kind]), _parts(text, WIDE[kind])).otherwise(F.array(text))
 
 
 def feature_struct(kind: str, own: Column, before: Column, after: Column) -> Column:
@@ -257,17 +262,19 @@ def model(spark) -> dict[str, tuple[str, float]]:
 # ----------------------------------------------------------------------------------------------------------------- scoring
 
 
-def _proposed(text: Column, kind: str) -> Column:
-    """Candidates of a kind, with their features."""
+def _validated(kind: str):
+    return lambda s: valid(kind, s["text"])
+
+
+def _candidate(text: Column, kind: str):
+    """From a wide span to one with its features."""
 
-    def scored(s: Column) -> Column:
+    def made(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-        after = F.substring(text, s["end"] + 1, F.lit(2))
-        f = feature_struct(kind, s["text"], before, after)
+        f = feature_struct(kind, s["text"], before, F.substring(text, s["end"] + 1, F.lit(2)))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), f.alias("f"))
 
-    wide = F.when(text.rlike(NEEDED[kind]), located(_parts(text, WIDE[kind]))).otherwise(F.array().cast(_SPANS))
-    return F.transform(wide, scored)
+    return made
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = False) -> DataFrame:
@@ -281,7 +288,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), MARK, SPARE)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     t = F.col("t")
-    rows = rows.select("*", *[base_spans(t, kind).alias(f"b_{kind}") for kind in KINDS], *[_proposed(t, kind).alias(f"w_{kind}") for kind in KINDS])
+    # each step is a column of its own: a lambda over an expression would part the text again at every match
+    rows = rows.select("*", *[base_parts(t, kind).alias(f"b_{kind}") for kind in KINDS], *[wide_parts(t, kind).alias(f"w_{kind}") for kind in KINDS])
+    rows = rows.select("doc_id", "t", *[located(F.col(f"{side}_{kind}")).alias(f"{side}_{kind}") for side in "bw" for kind in KINDS])
+    rows = rows.select(
+        "doc_id", "t", *[F.filter(f"b_{kind}", _validated(kind)).alias(f"b_{kind}") for kind in KINDS],
+        *[F.transform(f"w_{kind}", _candidate(t, kind)).alias(f"w_{kind}") for kind in KINDS],
+    )
     span = "struct<start:int,rank:int,end:int,kind:string>"
 
     def tagged(column: str, kind: str) -> str:
