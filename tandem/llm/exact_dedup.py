@@ -1,7 +1,7 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame functions alone.
 
 A normalised text is cut where its own content says so: a chunk ends with a boundary pattern once it has the least
-length, or at the greatest length. Every distinct chunk becomes an identifier, which is verified: chunk contents that
+length, or at the greatest length (where the pattern does not occur, as in other scripts, equal texts still have equal chunks). Every distinct chunk becomes an identifier, which is verified: chunk contents that
 share an identifier are compared, once for each map task that holds one. A document is then the ordered list of its
 identifiers, and only these short recipes are grouped and joined; the texts themselves never move.
 """
