@@ -55,7 +55,7 @@ class TestItems:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
-    def packed(self, matrix: np.ndarray, fill: int = 0) -> list[np.ndarray]:
+    def packed(self, matrix: np.ndarray) -> list[np.ndarray]:
         """Rows of word ids as few sortable columns."""
         per, out = max(1, 63 // self.bits), []
         for at in range(0, matrix.shape[1], per):
