@@ -24,7 +24,7 @@ from .store import documents, written
 
 ORDER = 5
 COMMON = 1 << 19
-HELD = 1 << 21
+HELD = 1 << 20
 SLICE = 1 << 20
 SIGN = np.int64(-(2**63))
 
