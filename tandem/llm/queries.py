@@ -19,7 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
-    "op3_lm_scoring": lm_score.op3_lm_scoring,
     "op4_license_scan": licenses.OP4_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }

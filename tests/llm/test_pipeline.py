@@ -32,5 +32,5 @@ def test_registered_queries():
     names = __spark_entry__.queries()
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
     assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
-    assert set(__spark_entry__.oracle_sql()) <= set(names)
+    assert set(__spark_entry__.oracle_sql()) <= set(names) and all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "BPE encoding and decoding"]
