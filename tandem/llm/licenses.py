@@ -1,12 +1,15 @@
 """License scans: Dice coefficient over word bigrams against licence templates, in DataFrame functions alone.
 
-Units of comparison are the lines of a text and the whole text. A unit's distinct word bigrams can reach the
-threshold only against templates of a size within bounds, so other templates are never compared; nor is a unit that has
-no bigram of any template. Everything happens inside the row.
+Units of comparison are the lines of a text, the whole text, and runs of its words that begin and end with a bigram of the
+template. A unit's distinct word bigrams can reach the threshold only against templates of a size within bounds, so other
+templates are never compared; nor is a unit that has no bigram of any template, nor runs of a text that has too few of
+the template's. Everything happens inside the row.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,18 +39,54 @@ TEMPLATES = (
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
 )
 
+_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+# Templates that OP4_SQL does not have.
+FURTHER = (
+    ("BSD-2-Clause", _BSD + _AS_IS),
+    ("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS),
+)
+_RUN = "struct<order:double,at:int,last:int,name:string,lo:int,hi:int>"
+_NO_RUN = f"cast(array() as array<{_RUN}>)"
+
+
+def _words(unit: str) -> str:
+    return f"filter(split({unit}, '[^a-z0-9]+'), w -> w <> '')"
+
 
 def bigrams(unit: str) -> str:
     """SQL: the distinct word bigrams, hashed, of a lower-cased text."""
-    words = f"filter(split({unit}, '[^a-z0-9]+'), w -> w <> '')"
+    words = _words(unit)
     pairs = "if(size(ws) < 2, cast(array() as array<bigint>), zip_with(slice(ws, 1, size(ws) - 1), slice(ws, 2, size(ws) - 1), (a, b) -> xxhash64(a, b)))"
     return f"array_distinct(get(transform(array({words}), ws -> {pairs}), 0))"
 
 
-def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, *, threshold: float = THRESHOLD) -> DataFrame:
+def _runs(name: str, pairs: list[int], length: int, threshold: float) -> str:
+    """SQL: runs of words like one wording, as structs order (-dice), at and last (bigrams), name, lo and hi (lines).
+
+    `grams` has the text's bigrams in order, `hits` those in any template. A run begins and ends with a bigram of this one
+    and is no longer than the distinct bigrams of a unit may be; of the runs from one bigram the best counts, the shortest of equals.
+    """
+    n = len(pairs)
+    fewest = math.ceil(n * threshold / (2 - threshold) - 1e-9)
+    hashes = ", ".join(f"{p}L" for p in pairs)
+    size = "size(array_distinct(slice(grams.g, {0}.p + 1, {1}.p - {0}.p + 1)))"
+    common = "size(array_distinct(slice(mine.g, i + 1, j - i + 1)))"
+    span = math.floor(length * (2 - threshold) / threshold + 1e-9)
+    ends = f"filter(sequence(i + {fewest - 1}, least(size(mine), i + {max(span, fewest)}) - 1), j -> mine[j].p - mine[i].p < {span})"
+    one = f"transform({ends}, j -> named_struct('dice', 2D * {common} / ({size.format('mine[i]', 'mine[j]')} + {n}), 'back', mine[i].p - mine[j].p, 'hi', mine[j].hi))"
+    best = f"transform(sequence(0, size(mine) - {fewest}), i -> named_struct('p', mine[i].p, 'lo', mine[i].lo, 'b', array_max({one})))"
+    good = f"filter({best}, r -> r.b.dice >= {threshold!r}D - 1e-12D)"
+    shown = f"transform({good}, r -> named_struct('order', -r.b.dice, 'at', r.p, 'last', r.p - r.b.back, 'name', '{name}', 'lo', r.lo, 'hi', r.b.hi))"
+    return f"get(transform(array(filter(hits, h -> h.g in ({hashes}))), mine -> if(size(array_distinct(mine.g)) >= {fewest}, {shown}, {_NO_RUN})), 0)"
+
+
+def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES + FURTHER, *, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_units, n_candidates, matches (array of name, dice, unit), in order of unit, then name.
 
-    unit numbers the lines from 0; the whole text, where it has more than one line, comes last. A template of several
+    unit numbers the lines from 0; the whole text, where it has more than one line, comes last. A run of words has the unit
+    n_units + the number of its first word in the text; it is given where neither the whole text nor a line that it touches has the same
+    name, and no better run of the name overlaps it. n_units does not count runs. A template of several
     wordings counts with its best. A unit needs two words to have a bigram; null and empty texts have one unit and no match.
     n_candidates counts pairs of unit and template within the size bounds, for units with some bigram of a template. Repeated rows are each
     scanned, a null id stays null, other columns are ignored.
@@ -62,7 +101,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     units = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).withColumn(
         "units", F.expr(r"if(contains(t, '\n'), concat(split(t, '\n', -1), array(t)), array(t))")
     )
-    sets = units.select("doc_id", F.size("units").cast("long").alias("n_units"), F.expr(f"transform(units, (u, i) -> named_struct('unit', i, 'pairs', {bigrams('u')}))").alias("sets"))
+    sets = units.select("doc_id", "t", F.size("units").cast("long").alias("n_units"), F.expr(f"transform(units, (u, i) -> named_struct('unit', i, 'pairs', {bigrams('u')}))").alias("sets"))
     near = sets.withColumn("sets", F.expr(f"filter(sets, s -> arrays_overlap(s.pairs, {every}))"))
     ratio = threshold / (2 - threshold)
     bound = f"size(s.pairs) >= t.n * {ratio!r}D - 1e-9D and size(s.pairs) <= t.n / {ratio!r}D + 1e-9D"
@@ -72,7 +111,20 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     kept = f"filter(pairs, p -> p.dice >= {threshold!r}D - 1e-12D)"
     best = f"filter({kept}, p -> not exists({kept}, o -> o.unit = p.unit and o.name = p.name and o.dice > p.dice))"
-    return scored.select("doc_id", "n_units", F.size("pairs").cast("long").alias("n_candidates"), F.expr(f"array_sort(array_distinct({best}))").alias("matches"))
+    lengths = [r["length"] for r in source.select(F.expr(f"size({_words('text')}) - 1").alias("length")).collect()]
+    runs = ", ".join(_runs(r["name"], r["pairs"], n, threshold) for r, n in zip(found, lengths) if r["pairs"])
+    words = rf"flatten(transform(split(t, '\n', -1), (l, i) -> transform({_words('l')}, w -> named_struct('w', w, 'l', i))))"
+    grams = "if(size(ws) < 2, cast(array() as array<struct<g:bigint,lo:int,hi:int>>), zip_with(slice(ws, 1, size(ws) - 1), slice(ws, 2, size(ws) - 1), (a, b) -> named_struct('g', xxhash64(a.w, b.w), 'lo', a.l, 'hi', b.l)))"
+    hits = f"filter(transform(grams, (x, p) -> named_struct('p', p, 'g', x.g, 'lo', x.lo, 'hi', x.hi)), x -> x.g in ({', '.join(f'{p}L' for p in sorted({p for r in found for p in r['pairs']}))}))"
+    every_run = f"get(transform(array({words}), ws -> get(transform(array({grams}), grams -> get(transform(array({hits}), hits -> concat({runs})), 0)), 0)), 0)" if runs else _NO_RUN
+    taken = "exists(matches, m -> m.name = r.name and (m.unit between r.lo and r.hi or m.unit = n_units - 1))"
+    met = "exists(kept, o -> o.name = r.name and o.at <= r.last and r.at <= o.last)"
+    apart = f"aggregate(array_sort(filter(runs, r -> not {taken})), {_NO_RUN}, (kept, r) -> if({met}, kept, concat(kept, array(r))))"
+    of_runs = f"transform({apart}, r -> named_struct('unit', cast(n_units as int) + r.at, 'name', r.name, 'dice', -r.order))"
+    return (
+        scored.withColumn("matches", F.expr(f"array_distinct({best})")).withColumn("runs", F.expr(every_run))
+        .select("doc_id", "n_units", F.size("pairs").cast("long").alias("n_candidates"), F.expr(f"array_sort(concat(matches, {of_runs}))").alias("matches"))
+    )
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
