@@ -2,7 +2,7 @@
 
 from tandem.plans import datasets, queries
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def test_every_name_is_asked_by_its_suffix(spark):
@@ -13,3 +13,16 @@ def test_every_name_is_asked_by_its_suffix(spark):
     for a, r in got.items():
         fit = sorted({n for n in names if n == a or n.endswith("/" + a)})
         assert (r.status, r.path) == (("known", fit[0]) if len(fit) == 1 else ("ambiguous", None))
+
+
+def test_changed_sets_take_all_parts(spark):
+    keys = [r.p_partkey for r in datasets.table(spark, MORE, "part").select("p_partkey").collect()]
+    assert max(keys) > 1000
+    staged = {f"s/{k}": f"old/{k}" if k % 2 == 0 else f"s/{k}" for k in keys if k % 3 == 0}
+    unstaged = [(f"u/{k}" if k % 4 == 0 else f"s/{k}", f"s/{k}") for k in keys if k % 3 == 0 and k % 4 < 2]
+    want = {f"u/{k}": f"u/{k}" for k in keys if k % 7 == 0}
+    touched = {old for _, old in unstaged}
+    want |= {path: old for path, old in staged.items() if path not in touched}
+    want |= {path: staged.get(old, old) for path, old in unstaged}
+    assert {r.path: r.history_path for r in queries.worktree_changed_set(spark, MORE).collect()} == want
+    assert {r.path for r in queries.changed_name_set(spark, MORE).collect()} == set(want) | set(want.values())
