@@ -1,5 +1,8 @@
 """Registered queries against plain Python over the test tables."""
 
+from collections import defaultdict
+
+from tandem.operators import graph
 from tandem.plans import datasets, queries
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -26,3 +29,29 @@ def test_changed_sets_take_all_parts(spark):
     want |= {path: staged.get(old, old) for path, old in unstaged}
     assert {r.path: r.history_path for r in queries.worktree_changed_set(spark, MORE).collect()} == want
     assert {r.path for r in queries.changed_name_set(spark, MORE).collect()} == set(want) | set(want.values())
+
+
+def test_pagerank_with_direct_evidence_walks_30_steps(spark):
+    b = datasets.sparse(spark, SMALL)
+    moves = defaultdict(dict)
+    for r in graph.adjacency(graph.pair_stats(b, queries.DENSE)).collect():
+        moves[r.u][r.v] = r.weight
+    got = defaultdict(dict)
+    for r in queries.pagerank_with_direct_evidence(spark, SMALL).collect():
+        got[r.seed][r.path] = (r.rank, r.score)
+    assert set(got) == {r.path for r in queries._newest(b).collect() if moves[r.path]}
+    for seed, rows in got.items():
+        mass = {seed: 1.0}
+        for _ in range(30):
+            after = defaultdict(float, {seed: 0.15})
+            for u, m in mass.items():
+                total = sum(moves[u].values())
+                for v, w in moves[u].items() if total else [(seed, 1.0)]:
+                    after[v] += 0.85 * m * w / (total or 1.0)
+            mass = after
+        best = sorted(((-round(m, 9), u) for u, m in mass.items() if u != seed))[:50]
+        assert len(rows) == len(best)
+        assert [s for _, s in sorted(rows.values())] == sorted((s for _, s in rows.values()), reverse=True)
+        for (rank, score), (m, _) in zip(sorted(rows.values()), best):
+            assert abs(score + m) < 2e-6
+        assert all(abs(score - mass[u]) < 2e-6 for u, (_, score) in rows.items())
