@@ -4,9 +4,9 @@ A text is its tokens (runs of visible bytes, A-Z lower-cased) joined by one spac
 trie over bytes, `order` deep, is counted over all training texts. The probability of a byte is that of its longest known
 context; what a context has not seen escapes to the next shorter one with the share t / (n + t) of its t distinct
 symbols (method C), whose symbols are then excluded. With fixed counts this is a function of the byte and the
-`order` bytes before, so every distinct run of order + 1 bytes in the corpus is scored once, by grouped sums and equi-joins
-along the trie's levels, and texts look the scores up: the commonest runs in a broadcast table of fixed size, all others by a
-join. Token counts for the unigram base are looked up in the same way.
+`order` bytes before, so every distinct run of order + 1 bytes in the corpus is scored once: the trie is parted at its nodes of
+few context bytes, and each part is scored as sorted arrays, a level at a time. Texts look the scores up: the commonest runs in
+a broadcast table of fixed size, all others by a join. Token counts for the unigram base are looked up in the same way.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ ORDER = 5
 COMMON = 1 << 19
 HELD = 1 << 20
 SLICE = 1 << 20
+FEW = 1 << 20
 SIGN = np.int64(-(2**63))
 
 
@@ -145,53 +146,120 @@ def _count(order: int):
     return bt.frugal(run)
 
 
-def run_scores(counts: DataFrame, order: int) -> DataFrame:
+def _level(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """A trie level of sorted keys (context bytes, then symbol): its contexts, each with total, kinds and first key."""
+    contexts = keys >> 8
+    start = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    total = np.add.reduceat(counts, start) if len(start) else np.zeros(0, np.int64)
+    return {"key": keys, "n": counts, "context": contexts[start], "start": start, "total": total, "kinds": np.diff(np.append(start, len(keys)))}
+
+
+def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of wanted keys, -1 for those that are not there."""
+    if not len(sorted_keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == wanted, at, -1)
+
+
+def _or_zero(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.where(at >= 0, values[np.maximum(at, 0)], 0) if len(values) else np.zeros(len(at), np.int64)
+
+
+def trie_scores(keys: np.ndarray, n_train: np.ndarray, order: int, short: list[dict]) -> np.ndarray:
+    """log10 probability of the last byte of each run after those before it.
+
+    keys, distinct, hold all runs of their last len(short) context bytes; short has the whole trie's levels of fewer
+    context bytes, the one of none first. Levels are visited from the longest context on, and only runs that a level has not seen
+    go to the next.
+    """
+    value = np.zeros(len(keys))
+    seen = n_train > 0
+    at = np.argsort(keys[seen])
+    level = _level(keys[seen][at], n_train[seen][at])
+    left, tail = np.arange(len(keys)), keys
+    mass, kinds, excluded = level["total"] + level["kinds"], level["kinds"], np.zeros(len(left), np.int64)
+    above = None
+    for depth in range(order, -1, -1):
+        if depth < order:
+            mask = (1 << (8 * (depth + 1))) - 1
+            above = level
+            if depth < len(short):
+                level = short[depth]
+            else:
+                level = _level(*_summed(above["key"] & mask, above["n"]))
+            # what the longer contexts have seen is excluded from the shorter one
+            same = _find(level["key"], above["key"] & mask)
+            gone = np.add.reduceat(level["n"][same], above["start"]) if len(above["start"]) else np.zeros(0, np.int64)
+            longer = _find(above["context"], tail >> 8)
+            excluded, known = _or_zero(gone, longer), _or_zero(above["kinds"], longer)
+            tail = tail & mask
+        else:
+            known = np.zeros(len(left), np.int64)
+        own = _find(level["context"], tail >> 8)
+        fresh = _or_zero(level["kinds"], own) - known
+        mass = _or_zero(level["total"], own) - excluded + fresh
+        place = _find(level["key"], tail)
+        hit = place >= 0
+        value[left[hit]] += np.log10(level["n"][place[hit]] / mass[hit])
+        out = ~hit & (fresh > 0)
+        value[left[out]] += np.log10(fresh[out] / mass[out])
+        left, tail = left[~hit], tail[~hit]
+    if len(left):
+        value[left] -= np.log10(256 - _or_zero(level["kinds"], _find(level["context"], tail >> 8)))
+    return value
+
+
+def _run_scores(order: int, source, depth: int):
+    """Scores of sorted rows (node, key, n_train, n_all): whole nodes together, about HELD / 4 rows at a time."""
+
+    def run(batches):
+        keys, counts = source.value
+        short, level = [], _level(keys, counts)
+        for d in range(depth - 1, -1, -1):
+            short.insert(0, level)
+            level = _level(*_summed(level["key"] & ((1 << (8 * d)) - 1), level["n"])) if d else level
+        held, size = [], 0
+
+        def scored(rows):
+            key, n_train, n_all = rows
+            value = trie_scores(key, n_train, order, short)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(value), pa.array(n_all)], ["key", "value", "n"])
+
+        for batch in batches:
+            node, *rows = (batch.column(i).to_numpy() for i in range(4))
+            if not len(node):
+                continue
+            held.append((node, *rows))
+            size += len(node)
+            if size >= HELD // 4 and held[0][0][0] != node[-1]:
+                whole = [np.concatenate(c) for c in zip(*held)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1]))
+                yield scored([c[:cut] for c in whole[1:]])
+                held, size = [tuple(c[cut:] for c in whole)], len(whole[0]) - cut
+        if held:
+            yield scored([np.concatenate(c) for c in list(zip(*held))[1:]])
+
+    return bt.frugal(run)
+
+
+def run_scores(counts: DataFrame, order: int, few: int = FEW) -> DataFrame:
     """key, value (log10 probability of the last byte of each run after those before it) and n, over key, n_train, n_all.
 
-    The trie's levels are visited from the longest context on; only runs that a level has not seen go to the next.
+    The trie is parted at its nodes of three context bytes, whole subtrees together; the levels above are a table of all
+    three-byte strings, broadcast. Where more than `few` of them occur it is parted at two bytes, where 65536 are possible.
     """
-    level = counts.where("n_train > 0").select("key", F.col("n_train").alias("n"))
-    context = F.shiftrightunsigned("key", 8)
-    nodes = level.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    met = counts.withColumn("context", context).join(nodes, "context", "left")
-    total, kinds = F.col("total"), F.col("kinds")
-    done = met.where("n_train > 0").select("key", F.log10(F.col("n_train") / (total + kinds)).alias("value"), F.col("n_all").alias("n"))
-    out = [done]
-    left = written(
-        met.where("n_train = 0").select(
-            "key", F.col("n_all").alias("count"), "context", F.coalesce(kinds, F.lit(0)).alias("seen"),
-            F.when(kinds.isNotNull(), F.log10(kinds / (total + kinds))).otherwise(0.0).alias("escape"),
-        ), "escaped",
-    )
-    for depth in range(order - 1, -1, -1):
-        mask, inner = F.lit((1 << (8 * (depth + 1))) - 1), F.lit((1 << (8 * depth)) - 1)
-        below = level.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n"))
-        # what the longer contexts have seen is excluded from the shorter one
-        asked = left.where("seen > 0").select("context").distinct()
-        symbols = level.select(F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(mask).alias("key")).join(asked, "context", "left_semi")
-        excluded = symbols.join(below, "key").groupBy("context").agg(F.sum("n").alias("excluded"))
-        nodes = below.groupBy(F.shiftrightunsigned("key", 8).alias("shorter")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-        now = (
-            left.join(excluded, "context", "left")
-            .withColumn("shorter", F.col("context").bitwiseAND(inner))
-            .join(nodes, "shorter", "left")
-            .withColumn("tail", F.col("key").bitwiseAND(mask))
-            .join(below.select(F.col("key").alias("tail"), "n"), "tail", "left")
-            .withColumn("fresh", F.coalesce(F.col("kinds"), F.lit(0)) - F.col("seen"))
-            .withColumn("mass", F.coalesce(F.col("total"), F.lit(0)) - F.coalesce(F.col("excluded"), F.lit(0)) + F.col("fresh"))
-        )
-        now = written(now, "level")
-        out.append(now.where("n is not null").select("key", (F.col("escape") + F.log10(F.col("n") / F.col("mass"))).alias("value"), F.col("count").alias("n")))
-        left = now.where("n is null").select(
-            "key", "count", F.col("shorter").alias("context"), F.coalesce(F.col("kinds"), F.lit(0)).alias("seen"),
-            (F.col("escape") + F.when(F.col("fresh") > 0, F.log10(F.col("fresh") / F.col("mass"))).otherwise(0.0)).alias("escape"),
-        )
-        level = below
-    out.append(left.select("key", (F.col("escape") - F.log10(256 - F.col("seen"))).alias("value"), F.col("count").alias("n")))
-    scored = out[0]
-    for part in out[1:]:
-        scored = scored.unionByName(part)
-    return scored
+    depth = min(3, order)
+    level = lambda d: counts.where("n_train > 0").groupBy(F.col("key").bitwiseAND((1 << (8 * d)) - 1).alias("key")).agg(F.sum("n_train").alias("n"))
+    top = written(level(depth), "strings")
+    if depth == 3 and top.count() > few:
+        depth = 2
+        top = top.groupBy(F.col("key").bitwiseAND((1 << 16) - 1).alias("key")).agg(F.sum("n").alias("n"))
+    found = top.orderBy("key").toArrow()
+    source = counts.sparkSession.sparkContext.broadcast(tuple(found[c].to_numpy() for c in ("key", "n")))
+    node = F.shiftrightunsigned("key", 8).bitwiseAND((1 << (8 * depth)) - 1).alias("node")
+    rows = counts.select(node, "key", "n_train", "n_all").repartition("node").sortWithinPartitions("node")
+    return rows.mapInArrow(_run_scores(order, source, depth), "key long, value double, n long")
 
 
 def _floor(table: DataFrame, limit: int) -> int:
@@ -258,7 +326,7 @@ def _score(source, name: str, order: int, end_value: float, end_known: int):
     return bt.frugal(run)
 
 
-def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", *, order: int = ORDER, common: int = COMMON) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", *, order: int = ORDER, common: int = COMMON, few: int = FEW) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows with held_out true teach nothing; null counts as false. Null and empty texts are the end mark alone. score and
@@ -280,7 +348,7 @@ def lm_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_co
 
     rank = F.floor(F.log2("n") * 8).cast("int").alias("rank")
     base = words.select("key", F.log10((F.col("n_train") + 0.5) / spread).alias("value"), F.col("n_train").alias("n")).select("key", "value", rank)
-    trie = written(run_scores(counts.where("key >= 0"), order).select("key", "value", rank), "scores")
+    trie = written(run_scores(counts.where("key >= 0"), order, few).select("key", "value", rank), "scores")
     near, tail = [], []
     for table in (base, trie):
         least = _floor(table, common)

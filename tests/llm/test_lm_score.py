@@ -49,10 +49,10 @@ def held(i):
     return zlib.crc32(str(i).encode()) % 5 == 1
 
 
-@pytest.mark.parametrize("common", [1, 1 << 20])
-def test_scores_match_brute_force(spark, common):
+@pytest.mark.parametrize("common, few", [(1, 1 << 20), (1 << 20, 0)])
+def test_scores_match_brute_force(spark, common, few):
     docs = spark.createDataFrame([(i, t, "x") for i, t in TEXTS], "doc_id long, text string, score string")
-    got = lm_score.lm_scores(docs, lm_score.crc_fold("doc_id", 5, 1), common=common).collect()
+    got = lm_score.lm_scores(docs, lm_score.crc_fold("doc_id", 5, 1), common=common, few=few).collect()
     train = [t for i, t in TEXTS if not held(i)]
     assert 0 < len(train) < len(TEXTS)
     tokens = Counter(w for t in train for w in [*coded(t)[:-1].split(), b"\n"])
