@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def text_key(text: Column) -> Column:
+    """The SHA-256 of a text, with which rows are told apart that repeat an id; null counts as the empty text."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def without(docs: DataFrame, id_col: str, text_col: str, told: DataFrame) -> DataFrame:
+    """The rows of docs that stay by `told` (doc_id, text_key, gone, rows), columns unchanged.
+
+    Rows are known by id and text together; null ids are equal. Rows that told does not have stay. Of `rows` equal rows that are not gone
+    one stays, whichever (they may differ in other columns).
+    """
+    told = written(told.where("gone or rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "gone"), "told")
+    own = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
+    keyed = docs.withColumn("__text_key", text_key(F.col(text_col))).withColumn("__own", F.col(id_col).cast(told.schema["__id"].dataType))
+    stay = keyed.join(told.select("__id", "__key"), own, "left_anti").select(*docs.columns)
+    repeated = told.where("not gone")
+    if repeated.isEmpty():
+        return stay
+    one = keyed.join(repeated, own, "left_semi").groupBy("__own", "__text_key").agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("__row"))
+    return stay.unionByName(one.select("__row.*"))
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]

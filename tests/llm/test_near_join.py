@@ -1,5 +1,7 @@
 """N-gram Jaccard join against all pairs."""
 
+import glob
+import os
 import random
 import re
 
@@ -66,14 +68,40 @@ def test_dedup_keeps_one_of_each_group(spark):
     docs = frame(spark)
     kept = near_join.near_dedup(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [-15, 1, 4, 5, 6, 7, 10, 12, 13, 14]
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([-15, 1, 4, 5, 6, 7, 10, 12, 13, 14, None], key=str)
     assert near_join.near_join(docs.limit(0)).count() == 0
 
 
-def test_recall_of_the_chosen_depths():
-    levels = near_join.depths(near_join.THRESHOLD, near_join.TREES, near_join.MAX_DEPTH, near_join.RECALL)
-    assert levels[0] == near_join.MAX_DEPTH and 1 - (1 - 0.8 ** levels[-1]) ** near_join.TREES >= near_join.RECALL
-    assert near_join.depths(0.8, 2, 8, 0.99)[-1] == 1
+def test_prefixes_reach_the_recall_of_each_size():
+    recall = lambda s, d: 1 - (1 - s**d) ** near_join.TREES
+    own = near_join.visited(near_join.THRESHOLD, near_join.TREES, near_join.MAX_DEPTH, near_join.RECALL)
+    at = lambda n: own[min(n, len(own) - 1)]
+    assert own[:4] == [set()] * 4 and own[-1] == {6} and max(map(max, own[4:])) > 6
+    for n in range(4, 120):
+        for m in range(n, 150):
+            similarity = [i / (n + m - i) for i in range(n + 1) if (i < n or m > n) and i / (n + m - i) >= 0.8 - 1e-9]
+            if similarity:  # such sets can be partners: they meet at a depth of the target recall
+                assert recall(min(similarity), max(at(n) & at(m))) >= near_join.RECALL
+    assert near_join.prefix(0.8, 2, 8, 0.99) == 1
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a unique text of seven words here"), (3, "p q r s t u"), (3, "p q r s t u"), (None, "p q r s t u"), (None, "two null ids"), (None, "two null ids"), (None, "other")]
+    kept = near_join.near_dedup(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([rows[0], rows[2], rows[3], rows[6], rows[8]], key=str)
+
+
+def test_a_growing_cluster_adds_few_rows(spark):
+    r = random.Random(9)
+    base = [f"v{i}" for i in range(150)]
+    counted = []
+    for n in (64, 128, 256):
+        rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(n) for k in [r.randrange(150)]]
+        got = near_join.near_join(frame(spark, rows), block_rows=64).collect()
+        assert {x.class_id for x in got} == {0} and {x.n_links for x in got} == {n - 1}
+        pairs = max(glob.glob(f"{store.shared_root(spark).removeprefix('file://')}/tandem/pairs-*"), key=os.path.getmtime)
+        counted.append(spark.read.parquet(pairs).count())
+    assert counted == [1, 3, 10]  # one row each block and each two blocks, not each document
 
 
 def test_components_match_union_find(spark):
