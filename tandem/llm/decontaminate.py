@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .store import documents
+from .store import documents, text_key
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -211,13 +211,12 @@ def flagged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without any hit, columns unchanged; rows with a null id are looked at and kept only if clean.
-
-    Rows that repeat an id stand or fall together: one hit row removes them all.
-    """
-    hit = flagged(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("contaminated").select(F.col("doc_id").alias("__hit"))
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("__hit")), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without any hit, columns unchanged. A row is judged by its own text, whatever its id."""
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    hit = contamination(texts, benchmark, "key", **options).where("size(spans) > 0").select(F.col("doc_id").alias("__hit")).distinct()
+    keyed = docs.withColumn("__text_key", text_key(F.col(text_col)))
+    return keyed.join(hit, F.col("__text_key") == F.col("__hit"), "left_anti").drop("__text_key")
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .store import documents
+from .store import documents, text_key
 
 BITS = 18
 SAMPLE = 4000
@@ -162,9 +162,11 @@ def score(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", t
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that the classifier accepts, columns unchanged; rows that repeat an id stand or fall together."""
-    rejected = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, **options).where("predicted = 0").select(F.col("doc_id").alias("__gone"))
-    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of docs that the classifier accepts, columns unchanged. A row is judged by its own text, whatever its id."""
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    rejected = score(texts, fit(docs, labels, id_col, text_col), "key", **options).where("predicted = 0").select(F.col("doc_id").alias("__gone")).distinct()
+    keyed = docs.withColumn("__text_key", text_key(F.col(text_col)))
+    return keyed.join(rejected, F.col("__text_key") == F.col("__gone"), "left_anti").drop("__text_key")
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -56,3 +56,9 @@ def test_removal_and_empty_tables(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([4, 5, 6, None, 12, 13, 14], key=str)
     assert decontaminate.decontaminate(docs, benchmark(spark).limit(0)).count() == len(ROWS)
     assert decontaminate.flagged(docs.limit(0), benchmark(spark)).count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    rows = [(None, BASE), (None, "clean text"), (3, "fine"), (3, BASE)]
+    kept = decontaminate.decontaminate(frame(spark, rows), benchmark(spark)).collect()
+    assert sorted((r.text for r in kept)) == ["clean text", "fine"]

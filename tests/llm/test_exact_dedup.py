@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tandem.llm import exact_dedup
@@ -15,18 +16,22 @@ MORE = [(20, LONG.replace(" ", "\n")), (21, LONG[:-1] + "!"), (22, "one   two"),
 
 
 def brute(rows):
+    """Of each group one row is kept: that of the smallest id, then of the smallest digest of the text as it is."""
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
     groups = defaultdict(list)
-    for (doc, _), t in zip(rows, norm):
-        groups[t].append(doc)
-    for (doc, _), t in zip(rows, norm):
-        ids = [d for d in groups[t] if d is not None]
-        keep = min(ids, default=None)
-        yield doc, keep, len(groups[t]), keep is None or (doc == keep if doc is not None else None), hashlib.sha256(t.encode()).hexdigest()
+    for i, t in enumerate(norm):
+        groups[t].append(i)
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0, hashlib.sha256((rows[i][1] or "").encode()).hexdigest(), i)
+    for i, t in enumerate(norm):
+        first = min(groups[t], key=order)
+        yield rows[i][0], rows[first][0], len(groups[t]), i == first, hashlib.sha256(t.encode()).hexdigest()
+
+
+REPEATED = [(2, "same text here"), (1, "same text here"), (2, "same  text here"), (2, "a unique text"), (5, "twice"), (5, "twice"), (None, "null"), (None, "null"), (None, "twice"), (6, "null id")]
 
 
 def test_groups_match_brute_force(spark):
-    rows = ROWS + MORE
+    rows = ROWS + MORE + REPEATED
     got = [tuple(r) for r in exact_dedup.exact_groups(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted(brute(rows), key=str)
 
@@ -45,4 +50,17 @@ def test_removal_and_empty_table(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, 4, 6, 7, None, 9, 10, 12, 13, 14, -15], key=str)
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
-    assert exact_dedup.disputed(docs).count() == 0
+    assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays_though_ids_repeat(spark):
+    kept = exact_dedup.exact_dedup(frame(spark, REPEATED)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, "same text here"), (2, "a unique text"), (5, "twice"), (None, "null"), (6, "null id")], key=str)
+
+
+def test_identifiers_that_stand_for_two_contents_stop_the_job(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(600)], "doc_id long, text string")
+    assert exact_dedup.disputed(exact_dedup.recipes(docs)).count() == 0
+    assert exact_dedup.disputed(exact_dedup.recipes(docs, bits=8)).count() > 0
+    with pytest.raises(RuntimeError):
+        exact_dedup.exact_groups(docs, bits=8)
