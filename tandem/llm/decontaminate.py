@@ -3,7 +3,8 @@
 The training text is read in shards (runs of whole documents). A shard's suffix array holds the word positions
 at which a test window could begin, sorted by their next ten words; a binary search places every test suffix in
 it, the hits are followed on to the longest verbatim match, and the documents and locations come back with the
-row they stand in. Nothing is shuffled. The test items are broadcast in blocks of bounded size, one pass a block.
+row they stand in. The test items are broadcast if they fit a block of bounded size, and nothing is shuffled. More items are
+looked up a block at a time, each in a pass of its own over the training text, and only hits are written and merged.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .store import documents, text_key
+from .store import documents, text_key, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -118,48 +119,60 @@ def find(test: TestItems, hashes: np.ndarray, first: np.ndarray):
 def _scan(items, window: int):
     def run(batches):
         test = TestItems(items.value, window)
+        names = np.array(test.names, object)
         for batch in batches:
-            names = batch.schema.names
-            col = {name: batch.column(i) for i, name in enumerate(names)}
-            spans, found, longest, counts = [], [], [], []
-            for lo, hi, data, offsets in bt.slices(col["text"], SHARD_BYTES):
+            counts, edges, spans, item_rows, item_edges, best = [], [0], [], [], [0], []
+            for lo, hi, data, offsets in bt.slices(batch.column(1), SHARD_BYTES):
                 hashes, first = bt.words(data, offsets)
                 position, which, length = find(test, hashes, first)
                 row = np.searchsorted(first, position, "right") - 1
                 order = np.lexsort((position, row))
                 position, which, length, row = (x[order] for x in (position, which, length, row))
                 edge = np.searchsorted(row, np.arange(hi - lo + 1))
+                counts.append(np.diff(first))
                 for i in range(hi - lo):
                     a, b = edge[i], edge[i + 1]
-                    counts.append(int(first[i + 1] - first[i]))
-                    old = col["spans"][lo + i].as_py() or []
-                    best = (col["longest"][lo + i].as_py(), col["longest_start"][lo + i].as_py(), col["longest_item"][lo + i].as_py())
-                    names_here = col["items"][lo + i].as_py() or []
-                    if a == b:
-                        spans.append(old)
-                        found.append(names_here)
-                        longest.append(best)
-                        continue
-                    start = position[a:b] - first[i]
-                    pairs = np.concatenate((np.stack((start, start + test.lengths[which[a:b]]), 1), np.array(old, np.int64).reshape(-1, 2)))
-                    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-                    ends = np.maximum.accumulate(pairs[:, 1])
-                    fresh = np.concatenate(([True], pairs[1:, 0] > ends[:-1]))
-                    spans.append(np.stack((pairs[fresh, 0], ends[np.append(np.flatnonzero(fresh)[1:] - 1, len(ends) - 1)]), 1).ravel().tolist())
-                    found.append(sorted({*names_here, *(test.names[k] for k in np.unique(test.items[which[a:b]]))}))
-                    top = a + int(np.lexsort((which[a:b], start, -length[a:b]))[0])
-                    if length[top] > (best[0] or 0):
-                        best = (int(length[top]), int(position[top] - first[i]), test.names[test.items[which[top]]])
-                    longest.append(best)
-            columns = {
-                **col, "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(found, pa.list_(pa.string())),
-                "longest": pa.array([x[0] for x in longest], pa.int64()), "longest_start": pa.array([x[1] for x in longest], pa.int64()), "longest_item": pa.array([x[2] for x in longest], pa.string()),
-            }
-            yield pa.RecordBatch.from_arrays([columns[name] for name in names], names)
+                    if a < b:  # few rows have a hit
+                        start = position[a:b] - first[i]
+                        ends = np.maximum.accumulate(start + test.lengths[which[a:b]])
+                        fresh = np.concatenate(([True], start[1:] > ends[:-1]))
+                        spans.append(np.stack((start[fresh], ends[np.append(np.flatnonzero(fresh)[1:] - 1, len(ends) - 1)]), 1).ravel())
+                        own = sorted({*names[np.unique(test.items[which[a:b]])]})
+                        item_rows += own
+                        top = a + int(np.lexsort((which[a:b], start, -length[a:b]))[0])
+                        best.append((int(length[top]), int(position[top] - first[i]), test.names[test.items[which[top]]]))
+                        edges.append(edges[-1] + len(spans[-1]))
+                        item_edges.append(item_edges[-1] + len(own))
+                    else:
+                        best.append((0, None, None))
+                        edges.append(edges[-1])
+                        item_edges.append(item_edges[-1])
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(np.concatenate(counts or none).astype(np.int64)), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(spans or none).astype(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(item_edges, pa.int32()), pa.array(item_rows, pa.string())),
+                    pa.array([x[0] for x in best], pa.int64()), pa.array([x[1] for x in best], pa.int64()), pa.array([x[2] for x in best], pa.string()),
+                ], ["doc_id", *RESULT],
+            )
 
     return bt.frugal(run)
 
 
+RESULT = {"n_words": "long", "spans": "array<long>", "items": "array<string>", "longest": "long", "longest_start": "long", "longest_item": "string"}
+_PAIRS = "array_sort(flatten(transform(parts, p -> transform(sequence(0, cast(size(p.spans) / 2 as int) - 1), i -> named_struct('s', p.spans[2 * i], 'e', p.spans[2 * i + 1])))))"
+_JOINED = (  # the ranges in order, those that touch made one
+    f"aggregate({_PAIRS}, cast(array() as array<bigint>), (a, x) -> if(size(a) > 0 and x.s <= element_at(a, -1), "
+    "concat(slice(a, 1, size(a) - 1), array(greatest(element_at(a, -1), x.e))), concat(a, array(x.s, x.e))))"
+)
+
+
+def _found(texts: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame:
+    source = texts.sparkSession.sparkContext.broadcast(block)
+    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{k} {t}" for k, t in RESULT.items())
+    return texts.mapInArrow(_scan(source, window), schema)
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
@@ -170,26 +183,38 @@ def contamination(
     distinct ids of the items with a window in the text; longest the words of the longest verbatim match, its start in the
     document and its item (the first in the text, then in the items, of equal ones). A window is `window` consecutive words of an
     item; a shorter item is one window; an item without words, or with a null text, has none. A null item id counts as
-    the empty string. Null and empty texts have no words and no hits. Repeated rows and items are each looked at; repeated ids of items
-    count once. An empty benchmark hits nothing. Other columns are ignored. Words are compared by 64-bit hashes.
+    the empty string. Null and empty texts have no words and no hits; very long texts are searched whole. Repeated rows and items are
+    each looked at; repeated ids of items count once. An empty benchmark hits nothing, an empty table has no rows. Other columns are
+    ignored. Words are compared by 64-bit hashes, and texts met in several blocks are known by SHA-256.
     """
-    spark = docs.sparkSession
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(item_text_col).cast("string").alias("text")
     ).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
-    fields = "doc_id {id}, text string, n_words long, spans array<long>, items array<string>, longest long, longest_start long, longest_item string"
-    out = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest"),
-        F.lit(None).cast("long").alias("longest_start"), F.lit(None).cast("string").alias("longest_item"),
-    )
-    schema = fields.format(id=out.schema["doc_id"].dataType.simpleString())
+
+    def block(k: int) -> list[tuple[str, str]]:
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        return [(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()]  # about block_bytes
+
+    text = F.col(text_col).cast("string").alias("text")
+    if blocks == 1:
+        return _found(docs.select(F.col(id_col).alias("doc_id"), text), block(0), window)
+    key = text_key(F.col(text_col))
+    texts, hits = docs.select(key.alias("doc_id"), text), None
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").collect()
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast([(r["id"], r["text"]) for r in part]), window), schema)
-    return out.drop("text")
+        own = written(_found(texts, block(k), window).where("size(spans) > 0").drop("n_words"), "hits").withColumn("block", F.lit(k))
+        hits = own if hits is None else hits.unionByName(own)
+    parts = hits.dropDuplicates(["doc_id", "block"]).groupBy(F.col("doc_id").alias("__key")).agg(F.collect_list(F.struct("spans", "items", "longest", "longest_start", "longest_item")).alias("parts"))
+    top = F.expr("array_min(transform(parts, p -> named_struct('n', -p.longest, 'longest_start', p.longest_start, 'longest_item', p.longest_item)))")
+    merged = parts.select(
+        "__key", F.expr(_JOINED).alias("spans"), F.expr("array_sort(array_distinct(flatten(transform(parts, p -> p.items))))").alias("items"), top.alias("top")
+    )  # a text has at most one part a block
+    n_words = F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words")
+    return docs.select(F.col(id_col).alias("doc_id"), key.alias("__key"), n_words).join(merged, "__key", "left").select(
+        "doc_id", "n_words", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce(-F.col("top.n"), F.lit(0)).cast("long").alias("longest"), "top.longest_start", "top.longest_item",
+    )
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -43,10 +43,11 @@ def test_hits_match_brute_force_in_one_and_many_blocks(spark):
 
 
 def test_longest_match_and_its_place(spark):
-    got = {r.doc_id: r for r in decontaminate.contamination(frame(spark), benchmark(spark)).collect() if r.doc_id in (1, 4, 10)}
-    assert (got[1].longest, got[1].longest_start, got[1].longest_item) == (20, 5, "10") and got[1].spans == [5, 25, 40, 52]
-    assert (got[4].longest, got[4].longest_item) == (0, None)
-    assert (got[10].longest, got[10].longest_start) == (12, 1)
+    for size in (16 << 20, 60):
+        got = {r.doc_id: r for r in decontaminate.contamination(frame(spark), benchmark(spark), block_bytes=size).collect() if r.doc_id in (1, 4, 10)}
+        assert (got[1].longest, got[1].longest_start, got[1].longest_item) == (20, 5, "10") and got[1].spans == [5, 25, 40, 52]
+        assert (got[4].longest, got[4].longest_item) == (0, None)
+        assert (got[10].longest, got[10].longest_start) == (12, 1)
 
 
 def test_removal_and_empty_tables(spark):

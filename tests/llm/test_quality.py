@@ -1,6 +1,8 @@
 """Quality classifier: held-out accuracy, defined results, and the sparse dot product."""
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -40,3 +42,56 @@ def test_scores_do_not_depend_on_neighbours(spark):
     for i, t in [ROWS[3], ROWS[10], ROWS[13]]:
         alone = quality.score(frame(spark, [(i, t)]), weights).first().score
         assert abs(alone - whole[i]) < 1e-9
+
+
+def plain_ftrl(rows, alpha=0.5, beta=1.0, l1=0.02, l2=0.02, epochs=4):
+    """FTRL-proximal, a coordinate at a time, over dictionaries."""
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    order = np.random.default_rng(3)
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)):
+            label, x = rows[k]
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[i] * v for i, v in x.items())))))
+            for i, v in x.items():
+                g = (p - label) * v
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[i]
+                n[i] = old + g * g
+    return weight
+
+
+def test_training_and_scores_match_plain_ftrl():
+    r = np.random.default_rng(8)
+    rows = []
+    for _ in range(150):
+        index = np.unique(r.integers(0, 40, 12)).astype(np.int32)
+        rows.append((float((index < 20).sum() > len(index) / 2), index, r.random(len(index)).astype(np.float32)))
+    bits = 6
+    got = quality.train_ftrl(rows, bits)
+    want = plain_ftrl([(label, {**dict(zip(index.tolist(), value.tolist())), 64: 1.0}) for label, index, value in rows])
+    assert np.allclose(got, [want(i) for i in range(65)], atol=1e-6) and (got != 0).sum() > 5
+
+
+def test_scores_are_sparse_dot_products(spark):
+    weights = np.random.default_rng(1).normal(size=(1 << quality.BITS) + 1)
+    got = {r.doc_id: r.score for r in quality.score(frame(spark), weights).collect() if r.doc_id in (1, 7, 10)}
+    for i, t in [ROWS[0], ROWS[7], ROWS[11]]:
+        data = np.frombuffer(t.encode(), np.uint8)
+        index, _ = quality.features(data, np.array([0, len(data)]))
+        dot = sum(float(np.float32(weights[j])) * n for j, n in Counter(index.tolist()).items()) * quality.SCALE / len(index) + float(np.float32(weights[-1]))
+        assert abs(got[i] - 1 / (1 + math.exp(-dot))) < 1e-5
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 160)], "doc_id long, quality int")
+    good, bad = "a calm sentence about the harbour and its boats", "BUY NOW $$$ !!! $$$ BUY BUY"
+    rows = [(i, f"{good if i % 2 else bad} {i}") for i in range(100, 160)] + [(None, bad), (None, good), (7, bad), (7, good)]
+    kept = [(r.doc_id, r.text) for r in quality.quality_filter(frame(spark, rows), labels).collect()]
+    assert (None, good) in kept and (7, good) in kept and (None, bad) not in kept and (7, bad) not in kept
