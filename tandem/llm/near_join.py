@@ -21,7 +21,7 @@ from . import bytetext as bt
 from .store import components, documents, text_key, without, written
 
 SHINGLE, THRESHOLD, TREES, MAX_DEPTH, RECALL = 5, 0.8, 32, 8, 0.9999
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 21
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 SMALL, KNOWN = 64, 1 << 18
 
 
