@@ -105,6 +105,14 @@ def merged_evidence(evidence: DataFrame, limit: int, *key: str) -> DataFrame:
     return rows.withColumn("nth", nth).where(F.col("nth") <= limit)
 
 
+def with_evidence(results: DataFrame, evidence: DataFrame, *key: str) -> DataFrame:
+    """Results with an array evidence (hash, date, subject, file_count, weight) in the order of nth, empty where there is none."""
+    fields = ("hash", "date", "subject", "file_count", "weight")
+    own = evidence.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("nth", *fields))).alias("__found"))
+    shown = F.transform(F.coalesce("__found", F.array()), lambda e: F.struct(*[e[f].alias(f) for f in fields]))
+    return results.join(own, list(key), "left").withColumn("evidence", shown).drop("__found")
+
+
 def diff(rankings: DataFrame, changed: DataFrame, options: Options) -> DataFrame:
     """Related items of a changed set: rankings without changed items, summed, excluded, ranked by score, cut."""
     rows = rankings.join(changed.select("path"), "path", "left_anti")

@@ -28,8 +28,11 @@ def eligible_tests(test: DataFrame, known: DataFrame, options: Options) -> DataF
 
 
 def rankers(train: DataFrame, options: Options, shape: str) -> dict[str, Callable[[DataFrame, int | None], DataFrame]]:
-    """mode -> function(seeds, top) giving (seed, path, score, cochanges, reason, rank, ...), over each seed's baskets or all."""
-    free = options.but(max_baskets=0, since=None)
+    """mode -> function(seeds, top) giving (seed, path, score, cochanges, reason, rank, ...), over each seed's baskets or all.
+
+    The options' bounds hold; an evaluation lifts them, as its window bounds it.
+    """
+    free = options
     if shape == "on-demand":
         return {
             "direct": lambda seeds, top: scorers.direct_on_demand(train, seeds, free, top),
@@ -41,8 +44,10 @@ def rankers(train: DataFrame, options: Options, shape: str) -> dict[str, Callabl
     pairs = graph.pair_stats(train, free)
 
     def hot(seeds: DataFrame, top: int | None) -> DataFrame:
-        first = scorers.hot(items, (top or 1 << 30) + 1)  # one more than asked for, as a seed leaves itself out
-        rows = seeds.select("seed").join(F.broadcast(first) if top else first, F.col("seed") != F.col("path"))
+        if not top:
+            raise ValueError("the hottest items of all are the same for every seed: give top")
+        first = scorers.hot(items, top + 1)  # one more than asked for, as a seed leaves itself out
+        rows = seeds.select("seed").join(F.broadcast(first), F.col("seed") != F.col("path"))
         return scorers.ranked(rows.withColumn("reason", F.lit("hot_file_baseline")), top, "seed")
 
     def pagerank(seeds: DataFrame, top: int | None) -> DataFrame:
@@ -74,7 +79,7 @@ def query_metrics(tests: DataFrame, train: DataFrame, options: Options, modes: t
     tasks = query_tasks(items)
     targets = items.where("is_known").select("ord", "path")
     seeds = tasks.select("seed").distinct()
-    made = rankers(train, options, shape)
+    made = rankers(train, options.but(max_baskets=0, since=None), shape)
     out = None
     for mode in modes:
         results = made[mode](seeds, top).select("seed", "path", "rank")
@@ -123,7 +128,7 @@ def audit_candidates(tests: DataFrame, train: DataFrame, options: Options, mode:
     items = eligible_tests(tests, known_items(train, options), options).where("is_known and n_known >= 2").select("ord", "path")
     tasks = items.select("ord", F.col("path").alias("omitted"))
     seeds = items.select(F.col("path").alias("seed")).distinct()
-    ranking = rankers(train, options, "on-demand")[mode](seeds, seed_budget(options.top))
+    ranking = rankers(train, options.but(max_baskets=0, since=None), "on-demand")[mode](seeds, seed_budget(options.top))
     for column, value in (("weight", F.lit(0.0)), ("last_seen", F.lit(""))):
         if column not in ranking.columns:
             ranking = ranking.withColumn(column, value)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Options
-from . import graph, history
+from . import graph, history, scorers
 
 
 def resolve(known: DataFrame, asked: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def resolve(known: DataFrame, asked: DataFrame) -> DataFrame:
 
 def explain(baskets: DataFrame, a: str, b: str, options: Options) -> DataFrame:
     """One row a, b, related, cochanges, weight, last_seen over the baskets of a; zeros where they never met."""
-    own = history.first_for_seed(history.in_size(history.since(baskets, options.since), options.max_items).where(F.array_contains("files", a)).withColumn("seed", F.lit(a)), options.max_baskets)
+    own = history.touching(baskets, baskets.sparkSession.createDataFrame([(a,)], "seed string"), options)
     pair = graph.pair_stats(own.drop("seed"), options.but(since=None)).where((F.col("a") == min(a, b)) & (F.col("b") == max(a, b)))
     asked = baskets.sparkSession.createDataFrame([(a, b)], "a string, b string")
     total = pair.agg(F.max("cochanges").alias("n"), F.max("weight").alias("w"), F.max("last_seen").alias("seen"))
@@ -39,6 +39,12 @@ def explain(baskets: DataFrame, a: str, b: str, options: Options) -> DataFrame:
     )
 
 
+def evidence(baskets: DataFrame, a: str, b: str, options: Options) -> DataFrame:
+    """hash, date, subject, file_count, weight and nth of the newest options.evidence baskets that hold both."""
+    seeds = baskets.sparkSession.createDataFrame([(a,)], "seed string")
+    return scorers.on_demand_evidence(baskets, seeds, options).where(F.col("path") == b).drop("seed", "path")
+
+
 def known_names(baskets: DataFrame) -> DataFrame:
     return baskets.select(F.explode("files").alias("path")).distinct()
 

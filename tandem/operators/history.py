@@ -47,9 +47,11 @@ def first_for_seed(rows: DataFrame, limit: int) -> DataFrame:
 def touching(baskets: DataFrame, seeds: DataFrame | None, options: Options) -> DataFrame:
     """Rows (seed, ord, ...) of in-size baskets for each seed they hold, newest first within the options' bounds.
 
-    seeds: one column seed, or None for every item. Baskets are scanned once, whatever the number of seeds.
+    seeds: one column seed, or None for every item. Baskets are scanned once, whatever the number of seeds. Baskets that
+    have a column seed already are histories of their seeds.
     """
-    rows = since(in_size(baskets, options.max_items), options.since).withColumn("seed", F.explode("files"))
+    rows = since(in_size(baskets, options.max_items), options.since)
+    rows = rows if "seed" in rows.columns else rows.withColumn("seed", F.explode("files"))
     if seeds is not None:
         rows = rows.join(seeds.select("seed").distinct(), "seed", "left_semi")
     return first_for_seed(rows, options.max_baskets)

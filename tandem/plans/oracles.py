@@ -139,9 +139,9 @@ SELECT asked, CASE WHEN exact OR n = 1 THEN 'known' WHEN n = 0 THEN 'missing' EL
 
 
 _SOURCES = """
-staged AS (SELECT 's/' || p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN 'old/' ELSE 's/' END || p_partkey AS old FROM part WHERE p_partkey < 1000 AND p_partkey % 3 = 0),
-unstaged AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'u/' ELSE 's/' END || p_partkey AS path, 's/' || p_partkey AS old FROM part WHERE p_partkey < 1000 AND p_partkey % 3 = 0 AND p_partkey % 4 < 2),
-untracked AS (SELECT 'u/' || p_partkey AS path FROM part WHERE p_partkey < 1000 AND p_partkey % 7 = 0),
+staged AS (SELECT 's/' || p_partkey AS path, CASE WHEN p_partkey % 2 = 0 THEN 'old/' ELSE 's/' END || p_partkey AS old FROM part WHERE p_partkey % 3 = 0),
+unstaged AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'u/' ELSE 's/' END || p_partkey AS path, 's/' || p_partkey AS old FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 4 < 2),
+untracked AS (SELECT 'u/' || p_partkey AS path FROM part WHERE p_partkey % 7 = 0),
 every AS (SELECT u.path, coalesce(s.old, u.old) AS history_path, 0 AS source FROM unstaged u LEFT JOIN staged s ON s.path = u.old
   UNION ALL SELECT path, old, 1 FROM staged WHERE path NOT IN (SELECT old FROM unstaged)
   UNION ALL SELECT path, path, 2 FROM untracked),
@@ -197,6 +197,11 @@ al AS (SELECT old_path, new_path FROM rec QUALIFY row_number() OVER (PARTITION B
 walk AS (SELECT old_path, old_path AS place, CAST([] AS VARCHAR[]) AS seen FROM al UNION ALL SELECT walk.old_path, new_path, list_append(seen, place) FROM walk JOIN al ON al.old_path = place WHERE NOT list_contains(seen, place))"""
 
 _D, _S = history("dense"), history("sparse")
+_MERGED = """
+every_one AS (SELECT seed, i.path AS path, hash, date, n FROM s JOIN i USING (ord) WHERE i.path <> seed QUALIFY row_number() OVER (PARTITION BY seed, i.path ORDER BY ord) <= 3),
+merged AS (SELECT path, string_agg(hash || ' ' || date || ' ' || n, ',' ORDER BY date DESC, hash) AS evidence FROM (
+  SELECT DISTINCT path, hash, date, n FROM every_one QUALIFY dense_rank() OVER (PARTITION BY path ORDER BY date DESC, hash) <= 3) GROUP BY path)"""
+
 ORACLES = {
     "basket_size_filter": f"WITH {_D} SELECT ord, hash, n AS n_files FROM e",
     "item_stats": f"WITH {_D}, {ITEMS} SELECT path, changes, round(mass, 6) AS weighted_changes, last_seen FROM items",
@@ -227,7 +232,7 @@ SELECT seed, count(*) AS shown, count(*) FILTER (ends_with(path, '/package.json'
 FROM {rank('g', 8)} GROUP BY seed""",
     "explain_pair": explained("supp/7", "supp/1"),
     "explain_unrelated": explained("supp/7", "supp/none"),
-    "resolve_path_suffix": resolved(_PART, f"SELECT regexp_replace({_PART}, '^[^/]*/', '') AS asked FROM part WHERE p_partkey % 10 = 3"),
+    "resolve_path_suffix": resolved(_PART, f"SELECT regexp_replace({_PART}, '^[^/]*/', '') AS asked FROM part"),
     "resolve_path_ambiguous": resolved(_RENAMED, "SELECT replace(p_name, ' ', '-') AS asked FROM part UNION ALL SELECT 'no-such-name'"),
     "audit_candidates": f"WITH {candidates('dense')} SELECT path, {_SHOWN} FROM c",
     "audit_eligible": f"""WITH {_D}, {NEWEST}, {demand(seeds=' AND i.path IN (SELECT seed FROM newest)')}
@@ -253,6 +258,24 @@ own AS (SELECT DISTINCT new_name AS seed, e.ord, old_name FROM e JOIN i USING (o
   WHERE i.path = new_name OR (t < {SINCE} AND i.path = old_name)),
 f AS (SELECT DISTINCT seed, own.ord, CASE WHEN t < {SINCE} AND i.path = old_name THEN seed ELSE i.path END AS path FROM own JOIN i USING (ord) JOIN b USING (ord))
 SELECT seed, path, count(*) AS cochanges FROM f WHERE path <> seed GROUP BY ALL""",
+    "multi_seed_follow": f"""WITH {_D},
+own AS (SELECT DISTINCT new_name AS seed, e.ord, e.t, e.date, old_name FROM e JOIN i USING (ord), (VALUES ('supp/1', 'supp/2'), ('supp/7', 'supp/8')) v(new_name, old_name)
+  WHERE i.path = new_name OR (t < {SINCE} AND i.path = old_name)),
+f AS (SELECT DISTINCT seed, ord, t, CASE WHEN t < {SINCE} AND i.path = old_name THEN seed ELSE i.path END AS path FROM own JOIN i USING (ord)),
+fn AS (SELECT seed, ord, any_value(t) AS t, count(*) AS n FROM f GROUP BY seed, ord),
+fd AS (SELECT *, exp(-ln(2) * greatest(max(t) OVER (PARTITION BY seed) - t, 0) / 86400.0 / {HALF}) AS decay FROM fn),
+fm AS (SELECT seed, sum(decay) AS mass FROM fd GROUP BY seed),
+d2 AS (SELECT seed, path, count(*) AS co, sum(decay / log2(n + 1)) / sqrt(any_value(mass) * sum(decay)) AS score FROM fd JOIN f USING (seed, ord) JOIN fm USING (seed) WHERE path <> seed GROUP BY seed, path)
+SELECT seed, path, rank, round(score, 6) AS score, co AS cochanges FROM {rank('d2', None)}""",
+    "audit_candidates_with_evidence": f"""WITH {candidates('dense')}, {_MERGED},
+top AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rank FROM c WHERE confidence IN ('medium', 'high'))
+SELECT path, rank, confidence, coalesce(evidence, '') AS evidence FROM top LEFT JOIN merged USING (path) WHERE rank <= 20""",
+    "diff_evidence": f"""WITH {_D}, {NEWEST}, {demand(seeds=' AND i.path IN (SELECT seed FROM newest)')}, {_MERGED},
+c AS (SELECT path, sum(score) AS score FROM {rank('d', 20)} WHERE path NOT IN (SELECT seed FROM newest) GROUP BY path)
+SELECT path, round(score, 6) AS score, coalesce(evidence, '') AS evidence FROM c LEFT JOIN merged USING (path) ORDER BY round(c.score, 9) DESC, path LIMIT 20""",
+    "explain_evidence": f"""WITH {_D}, {demand(seeds=" AND i.path = 'supp/7'")}
+SELECT row_number() OVER (ORDER BY ord) AS nth, hash, date, (SELECT o_orderpriority FROM orders WHERE o_orderkey = k) AS subject, n AS file_count, round(decay / log2(n + 1), 6) AS weight
+FROM s JOIN i USING (ord) WHERE i.path = 'supp/1' QUALIFY nth <= 3""",
     "staged_rename_mapping": f"""WITH {_D}, {demand(seeds=" AND i.path IN ('supp/1', 'supp/7')")}
 SELECT CASE seed WHEN 'supp/7' THEN 'supp/new' ELSE seed END AS seed, path, rank, round(score, 6) AS score, co AS cochanges FROM {rank('d', 10)} WHERE path NOT IN ('supp/1', 'supp/7')""",
     "rename_exact_blob": """WITH bf AS (SELECT 'a/' || p_partkey AS path, CASE WHEN p_partkey % 10 < 8 THEN p_partkey ELSE p_partkey // 10 * 10 + 8 END AS blob FROM part),
@@ -309,7 +332,7 @@ ORACLES["pagerank_on_demand"] = (
     f"SELECT seed, path, rank, round(score, 6) AS score, coalesce(co, 0) AS cochanges, reason FROM {rank('x', 20)}"
 )
 ORACLES["pagerank_with_direct_evidence"] = (
-    f"WITH RECURSIVE {_S}, {NEWEST}, {ITEMS}, {PAIRS}, {SCORED}, {BOTH}, {ADJ}, {DEGREE}, {walks('newest', 4)}, "
+    f"WITH RECURSIVE {_S}, {NEWEST}, {ITEMS}, {PAIRS}, {SCORED}, {BOTH}, {ADJ}, {DEGREE}, {walks('newest', 30)}, "
     f"x AS (SELECT pr.seed, pr.path, pr.score, co, {_REASON} FROM pr LEFT JOIN both_ways d ON d.seed = pr.seed AND d.path = pr.path) "
     f"SELECT seed, path, rank, round(score, 6) AS score, coalesce(co, 0) AS cochanges, reason FROM {rank('x', 50)}"
 )

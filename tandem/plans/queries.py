@@ -240,6 +240,42 @@ def diff_aggregate(spark, d):
     return _shown(changedset.diff(scorers.direct_on_demand(b, seeds, DENSE, 20), _changed(b), DENSE.but(top=20))).drop("confidence", "supported_by")
 
 
+def _evidence_text(df: DataFrame) -> DataFrame:
+    shown = F.array_join(F.transform("evidence", lambda e: F.concat_ws(" ", e["hash"], e["date"], e["file_count"].cast("string"))), ",")
+    return df.withColumn("evidence", shown)
+
+
+def audit_candidates_with_evidence(spark, d):
+    b = dense(spark, d)
+    seeds = _newest(b).select(F.col("path").alias("seed"))
+    top = changedset.top_candidates(_candidates(b), DENSE.but(top=20))
+    found = scorers.on_demand_evidence(b, seeds, DENSE).drop("nth").join(top.select("path"), "path", "left_semi")
+    rows = changedset.with_evidence(top, changedset.merged_evidence(found, 3), "path")
+    return _evidence_text(rows).select("path", F.col("rank").cast("long").alias("rank"), "confidence", "evidence")
+
+
+def diff_evidence(spark, d):
+    b = dense(spark, d)
+    seeds = _newest(b).select(F.col("path").alias("seed"))
+    top = changedset.diff(scorers.direct_on_demand(b, seeds, DENSE, 20), _changed(b), DENSE.but(top=20))
+    found = scorers.on_demand_evidence(b, seeds, DENSE).drop("nth").join(top.select("path"), "path", "left_semi")
+    return _evidence_text(changedset.with_evidence(top, changedset.merged_evidence(found, 3), "path")).select("path", *six("score"), "evidence")
+
+
+def explain_evidence(spark, d):
+    return explain.evidence(dense(spark, d), "supp/7", "supp/1", DENSE).select(F.col("nth").cast("long").alias("nth"), "hash", "date", "subject", "file_count", *six("weight"))
+
+
+def multi_seed_follow(spark, d):
+    """Two seeds with former names of their own; where both were renamed in one basket each seed sees the other's old name."""
+    b = history.in_size(dense(spark, d), DENSE.max_items)
+    made = None
+    for new, old in (("supp/1", "supp/2"), ("supp/7", "supp/8")):
+        own = b.where(F.array_contains("files", new) | ((F.col("unix_time") < SINCE) & F.array_contains("files", old))).withColumn("seed", F.lit(new))
+        made = own if made is None else made.unionByName(own)
+    return _ranked(scorers.direct_on_demand(renames.follow(made, _aliases(made)), _seeds(spark, "supp/1", "supp/7"), DENSE), "cochanges")
+
+
 def _change_sources(spark, d):
     part = table(spark, d, "part")
     name = lambda prefix: F.concat(F.lit(prefix), F.col("p_partkey"))
@@ -394,7 +430,7 @@ QUERIES = {
         direct_on_demand_sparse, direct_on_demand_since, direct_max_commits, on_demand_evidence, hot_topk, hot_on_demand, path_similarity_topk,
         path_similarity_urls, weighted_degree, adjacency, pagerank_global, pagerank_on_demand, pagerank_with_direct_evidence, exclude_glob,
         exclude_then_topk, broad_change_hint, explain_pair, explain_unrelated, resolve_path_suffix, resolve_path_ambiguous, audit_candidates,
-        audit_eligible, audit_pagerank, audit_evidence, audit_filtered_count, audit_enforcement, diff_aggregate, worktree_changed_set,
+        audit_eligible, audit_pagerank, audit_evidence, audit_candidates_with_evidence, diff_evidence, explain_evidence, multi_seed_follow, audit_filtered_count, audit_enforcement, diff_aggregate, worktree_changed_set,
         changed_name_set, rename_follow_exact, staged_rename_mapping, rename_exact_blob, rename_alias_closure, eval_known_items, eval_split,
         eval_query_counters, eval_audit_counters, eval_audit_metrics, eval_audit_band_metrics, bounded_scan_cut, history_coverage, path_normalise,
         path_parts, path_tokens, time_decay, confidence_band,

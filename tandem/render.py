@@ -21,34 +21,60 @@ def as_json(value: dict) -> str:
     return json.dumps({k: v for k, v in value.items() if v is not None}, ensure_ascii=False, separators=(",", ":"))
 
 
-def ranked_text(rows: list[dict], evidence: bool = False) -> str:
-    lines = []
-    for i, r in enumerate(rows, 1):
-        reason = SHORT_REASONS.get(r.get("reason", ""), r.get("reason", ""))
-        line = f"{i} {escaped(r['path'])} co={r.get('cochanges', 0)}"
-        if not r.get("cochanges") or reason:
-            line += f" s={r['score']:.3f}"
-        if evidence:
-            line += f" seen={r.get('last_seen', '')} w={r.get('weight', 0.0):.3f}"
-        lines.append(line + (f" via={reason}" if reason else ""))
-        lines += [f"  {short_hash(e['hash'])} {e['date']} {escaped(e['subject'])}" for e in r.get("evidence", [])]
-    return "\n".join(lines)
+def evidence_lines(rows: list[dict], indent: str = "  ") -> list[str]:
+    return [f"{indent}- {short_hash(e['hash'])} {e['date']} files={e['file_count']} weight={e['weight']:.6f} {escaped(e['subject'])}" for e in rows]
+
 
+def _hint_lines(hints: list[str]) -> list[str]:
+    return [f"hint: {h}" for h in hints]
 
-def audit_text(changed: list[str], rows: list[dict], hints: list[str], enforced: str | None = None, findings: int = 0) -> str:
-    lines = [f"changed: {', '.join(map(escaped, changed))}"]
+
+def query_text(target: str, mode: str, rows: list[dict], hints: list[str] = ()) -> str:
+    """A header, then a line for each result, with counts where there are any and its evidence below."""
+    lines = [f"related {escaped(target)} {escaped(mode)}"]
     if not rows:
-        lines.append("nothing found at this confidence")
+        lines.append("no related files found")
     for i, r in enumerate(rows, 1):
-        lines.append(f"{i} {escaped(r['path'])} {r['confidence']} strongest={r['strongest_pair_cochanges']} support={r['support_count']} s={r['score']:.3f}")
-        lines.append(f"  supported_by: {', '.join(map(escaped, r['supported_by']))}")
-    if enforced:
-        lines.append(f"enforced {enforced}: {findings} findings")
-    return "\n".join([*lines, *(f"hint: {h}" for h in hints)])
+        reason, together = r.get("reason", ""), r.get("cochanges", 0)
+        line = f"{i} {escaped(r['path'])}" + (f" co={together}" if together else "")
+        if not together or reason != "direct_cochange":
+            line += f" s={r['score']:.3f}"
+        if r.get("evidence"):
+            line += (f" seen={r['last_seen']}" if r.get("last_seen") else "") + (f" w={r['weight']:.3f}" if r.get("weight", 0.0) > 0 else "")
+        short = SHORT_REASONS.get(reason, reason)
+        lines.append(line + (f" via={short}" if short else ""))
+        lines += evidence_lines(r.get("evidence") or [])
+    return "\n".join(lines + _hint_lines(hints))
+
+
+def audit_text(value: dict) -> str:
+    """The text of an audit's JSON value."""
+    known, seeds = value["history_coverage"], value["seeds"]
+    lines = [
+        f"audit scope={escaped(value['scope'])} mode={escaped(value['mode'])} seeds={len(seeds)} minimum_confidence={value['minimum_confidence']} "
+        f"backend={known['backend']} completeness={known['completeness']} rename_tracking={known['rename_tracking']}",
+        f"changed {','.join(map(escaped, seeds))}",
+    ]
+    if value["abstained"]:
+        lines.append("no candidates met the confidence threshold")
+    for i, r in enumerate(value["candidates"], 1):
+        lines.append(
+            f"{i} {escaped(r['path'])} confidence={r['confidence']} support={r['support_count']}/{len(seeds)} co={r['cochanges']} "
+            f"strongest_co={r['strongest_pair_cochanges']} s={r['score']:.3f}"
+        )
+        lines.append(f"  supported_by {','.join(map(escaped, r['supported_by']))}")
+        lines += evidence_lines(r.get("evidence") or [])
+    if e := value["enforcement"]:
+        lines.append(f"enforcement threshold={e['threshold']} findings={e['finding_count']} triggered={str(e['triggered']).lower()} exit_code={e['exit_code']}")
+    return "\n".join(lines + _hint_lines(value["hints"]))
 
 
 def explain_text(r: dict) -> str:
-    return f"{escaped(r['a'])} <-> {escaped(r['b'])}\ncochanged={r['cochanges']} weight={r['weight']:.6f} last_seen={r['last_seen']}"
+    a, b = escaped(r["a"]), escaped(r["b"])
+    if not r["related"]:
+        return "\n".join([f"{a} and {b} have no direct co-change evidence in this history window.", *_hint_lines(r.get("hints", []))])
+    lines = [f"{a} <-> {b}", f"cochanged={r['cochanges']} weight={r['weight']:.6f} last_seen={r['last_seen']}"]
+    return "\n".join([*lines, *evidence_lines(r.get("evidence", []), ""), *_hint_lines(r.get("hints", []))])
 
 
 def table_text(rows: list[dict], digits: int = 4) -> str:

@@ -3,11 +3,13 @@
 import io
 import json
 import os
+import random
 import subprocess
 
 import pytest
 
 from tandem import cli, render
+from tandem.config import Options
 from tandem.sources import gitlog
 
 
@@ -61,6 +63,10 @@ def test_changed_set_universe_and_errors(spark, repo):
     for bad in ("", "-x", "a b"):
         with pytest.raises(gitlog.LogError):
             gitlog.check_range(bad)
+    with pytest.raises(gitlog.LogError):
+        gitlog.decoded_ids(["xyz"])
+    assert gitlog.object_format(repo) == "sha1" and gitlog.runtime_backend(repo, "pack-fast") == ("pack-fast", [])
+    assert gitlog.since_time(repo, "1700000000") == 1_700_000_000 and 0 < gitlog.since_time(repo, "now") - gitlog.since_time(repo, "2 weeks ago") - 14 * 86400 + 3700 < 7400
     with pytest.raises(gitlog.LogError):
         list(gitlog.parse_log(b"\0h\x1f1\x1fd\x1fs\0\nX\0p\0"))
     with pytest.raises(gitlog.LogError):
@@ -80,11 +86,13 @@ def test_command_line(spark, repo, monkeypatch):
     assert all(r["path"] != "src/old.ts" for r in found["related"])
     code, text = call("audit", "--repo", repo, "--format", "json", "--fail-on-confidence", "medium")
     found = json.loads(text)
-    assert code == 3 and [c["path"] for c in found["candidates"]] == ["src/comp.ts"] and found["enforcement"]["findings"] == 1
+    assert code == 3 and [c["path"] for c in found["candidates"]] == ["src/comp.ts"] and found["enforcement"]["finding_count"] == 1
     assert found["seeds"] == ["extra.txt", "src/new.ts"]
     code, text = call("audit", "--repo", repo, "--min-confidence", "high")
-    assert code == 0 and "nothing found" in text and "Omitted" in text
-    assert "cochanged=2" in call("explain", "src/comp.ts", "docs/x.md", "--repo", repo)[1] or "cochanged=1" in call("explain", "src/comp.ts", "docs/x.md", "--repo", repo)[1]
+    assert code == 0 and "no candidates met" in text and "Omitted" in text and "completeness=latency-bounded" in text
+    text = call("explain", "src/comp.ts", "docs/x.md", "--repo", repo)[1]
+    assert "cochanged=1" in text and "files=3" in text and "first\\x01" in text
+    assert "no direct co-change" in call("explain", "docs/x.md", "src/new.ts", "--repo", repo, "--max-commits", "1")[1]
     assert "src/comp.ts" in call("diff", "--repo", repo)[1]
     code, text = call("eval", "--repo", repo, "--test-commits", "1", "--train-commits", "4", "--modes", "direct")
     assert code == 0 and "hit_rate_at_k" in text
@@ -92,7 +100,102 @@ def test_command_line(spark, repo, monkeypatch):
         call("query", "no-such", "--repo", repo)
 
 
+def test_command_line_keeps_bounds_and_shows_evidence(spark, repo, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+
+    def together(*more):
+        found = json.loads(call("query", "new.ts", "--repo", repo, "--format", "json", *more)[1])
+        return {r["path"]: (r["cochanges"], [e["subject"] for e in r["evidence"]]) for r in found["related"]}
+
+    assert together("--evidence", "2")["src/comp.ts"] == (4, ["fourth", "third"])
+    assert together("--max-commits", "1") == {"src/comp.ts": (1, [])}
+    assert together("--since", str(1_700_000_000 + 8 * 86400 - 10))["src/comp.ts"][0] == 2  # each call of git is a day later
+    for backend, n in (("git", 4), ("git-remove-empty", 4), ("pack-scan", 4), ("git-batch", 2), ("git-batch-parallel", 2), ("git-diff-tree", 2), ("git-diff-tree-parallel", 2), ("git-rev-list", 2), ("gix", 2), ("hybrid", 2)):
+        assert together("--history-backend", backend)["src/comp.ts"][0] == n, backend
+    assert together("--history-backend", "pack-scan", "--scan-commits", "2")["src/comp.ts"][0] == 1
+    assert together("--accuracy", "exact")["src/comp.ts"][0] == 4
+    for bad in (("--accuracy", "exact", "--history-backend", "git"), ("--history-backend", "none"), ("--jobs", "0"), ("--accuracy", "no")):
+        with pytest.raises(cli.UsageError):
+            call("query", "src/new.ts", "--repo", repo, *bad)
+    found = json.loads(call("audit", "--repo", repo, "--format", "json", "--evidence", "1")[1])
+    assert [e["subject"] for e in found["candidates"][0]["evidence"]] == ["fourth"]
+    assert json.loads(call("audit", "--repo", repo, "--format", "json", "--exclude", "src/*")[1])["candidates"] == []
+    found = json.loads(call("diff", "--repo", repo, "--format", "json", "--evidence", "1")[1])
+    assert [e["subject"] for e in found["related"][0]["evidence"]] == ["fourth"]
+
+
+def test_paths_as_they_are_typed(spark, repo, monkeypatch):
+    folder = os.path.join(repo, "src")
+    for base, typed in ((repo, "src/new.ts"), (folder, "new.ts"), (folder, "../src/./new.ts"), (repo, os.path.join(folder, "new.ts")), (repo, "new.ts")):
+        assert gitlog.resolved(spark, repo, base, typed) == "src/new.ts"
+    for bad in ("", "none.ts", "/elsewhere/none.ts"):
+        with pytest.raises(cli.UsageError):
+            gitlog.resolved(spark, repo, repo, bad)
+
+
+def test_each_seed_has_its_own_former_names(spark, tmp_path):
+    def run(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
+
+    run("init", "-q")
+    for name in ("oldA", "oldB"):
+        (tmp_path / name).write_text(f"{name}\n" * 30)
+    (tmp_path / "z").write_text("z")
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    run("mv", "oldA", "A")
+    run("mv", "oldB", "B")
+    run("commit", "-qam", "two")
+    rows = gitlog.seed_histories(spark, str(tmp_path), ["A", "B"], Options(backend="git")).collect()
+    assert {(r.seed, r.subject): sorted(r.files) for r in rows} == {
+        ("A", "one"): ["A", "oldB", "z"], ("B", "one"): ["B", "oldA", "z"], ("A", "two"): ["A", "B"], ("B", "two"): ["A", "B"],
+    }
+    assert sorted(map(tuple, gitlog.exact_renames(spark, str(tmp_path)).collect())) == [(0, "oldA", "A"), (0, "oldB", "B")]
+
+
+def test_source_matches_git_on_a_generated_history(spark, tmp_path):
+    r = random.Random(4)
+
+    def run(*args):
+        return subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True).stdout.decode()
+
+    run("init", "-q")
+    run("checkout", "-qb", "main")
+    there = []
+    for step in range(60):
+        for _ in range(r.randint(1, 4)):
+            kind = r.random()
+            if there and kind < 0.15:
+                run("rm", "-qf", there.pop(r.randrange(len(there))))
+            elif there and kind < 0.3:
+                old, new = there.pop(r.randrange(len(there))), f"moved {step} ü {r.randrange(99)}.txt"
+                run("mv", old, new)
+                there.append(new)
+            else:
+                name = r.choice([*there, f"d{r.randrange(4)}/f{r.randrange(30)}"])
+                (tmp_path / name).parent.mkdir(exist_ok=True)
+                (tmp_path / name).write_text("".join(f"{r.random()}\n" for _ in range(20)))
+                run("add", name)
+                there += [name] if name not in there else []
+        run("commit", "-q", "--allow-empty", "-m", f"step {step}")
+        if step % 20 == 10:
+            run("checkout", "-qb", f"side{step}")
+        if step % 20 == 15:
+            run("checkout", "-q", "main")
+            run("merge", "-q", "--no-edit", f"side{step - 5}")
+    want = {}
+    for commit in run("log", "--format=%H").split():
+        files = run("diff-tree", "--root", "-r", "--no-commit-id", "-z", "--name-only", "--no-renames", "--diff-filter=ACMRT", commit)
+        want[commit] = sorted(f for f in files.strip("\n").split("\0") if f.strip("\n"))
+    want = {k: v for k, v in want.items() if v}
+    for options in ({}, {"chunk": "7"}, {"chunk": "0"}, {"expand": "diff-tree", "chunk": "9"}):
+        rows = gitlog.history(spark, str(tmp_path), **options).orderBy("ord").collect()
+        assert {x.hash: sorted(x.files) for x in rows} == want and len({x.ord for x in rows}) == len(rows)
+        assert [x.hash for x in rows] == [h for h in want if h in {x.hash for x in rows}]
+    assert [x.hash for x in gitlog.history(spark, str(tmp_path), max_count="10").orderBy("ord").collect()] == list(want)[:10]
+
+
 def test_text_rendering():
     assert render.escaped("a\nbé") == "a\\nbé"
-    assert render.ranked_text([{"path": "p", "score": 0.5, "cochanges": 2, "reason": "direct_cochange"}]) == "1 p co=2"
+    assert render.query_text("t", "direct", [{"path": "p", "score": 0.5, "cochanges": 2, "reason": "direct_cochange"}]) == "related t direct\n1 p co=2"
     assert render.as_json({"a": 1, "b": None}) == '{"a":1}'
