@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from . import graph, history
 
 #: Scores are ranked after rounding, so that the order of floating-point sums does not decide ties.
 DIGITS = 9
+#: Edges of a graph that is walked as arrays: 16 bytes each, and each node's name once.
+FEW_EDGES = 1 << 20
 
 
 def ranked(rows: DataFrame, top: int | None, *key: str) -> DataFrame:
@@ -99,17 +102,71 @@ def path_similarity(targets: DataFrame, candidates: DataFrame, top: int | None =
     return ranked(scored.select("seed", "path", "score", F.lit(0).cast("long").alias("cochanges"), F.lit("path_name_baseline").alias("reason")), top, "seed")
 
 
-def pagerank(adj: DataFrame, seeds: DataFrame, steps: int = STEPS, alpha: float = ALPHA, by_seed: bool = False) -> DataFrame:
-    """seed, path, score: random walks with restart at each seed, all seeds in one loop of `steps` equi-joins.
+def _walk(source: np.ndarray, target: np.ndarray, p: np.ndarray, n: int, seed: int, steps: int, alpha: float) -> np.ndarray:
+    """Mass of n nodes after `steps` steps from the seed; p already holds alpha."""
+    rank = np.zeros(n)
+    rank[seed] = 1.0
+    ends = np.bincount(source, minlength=n) == 0
+    for _ in range(steps):
+        moved = np.bincount(target, rank[source] * p, n)
+        moved[seed] += 1 - alpha + alpha * rank[ends].sum()
+        rank = moved
+    return rank
+
+
+def _small_walks(moves: DataFrame, start: DataFrame, steps: int, alpha: float, by_seed: bool) -> DataFrame:
+    """Walks over graphs of bounded size, held as arrays: one broadcast to all seeds, or each in its seed's group."""
+    import pandas as pd
+    import pyarrow as pa
+
+    schema = "seed string, path string, score double"
+
+    def shown(seed, names, rank):
+        keep = (rank > 0) & (names != seed)
+        return pd.DataFrame({"seed": seed, "path": names[keep], "score": rank[keep]})
+
+    if by_seed:
+
+        def of_group(rows: pd.DataFrame) -> pd.DataFrame:
+            codes, names = pd.factorize(pd.concat([rows["u"], rows["v"]], ignore_index=True))
+            seed, names, half = rows["seed"].iloc[0], np.asarray(names, object), len(rows)
+            at = np.flatnonzero(names == seed)
+            return shown(seed, names, _walk(codes[:half], codes[half:], rows["p"].to_numpy(), len(names), int(at[0]), steps, alpha) if len(at) else np.zeros(len(names)))
+
+        return moves.join(start.select("seed"), "seed", "left_semi").groupBy("seed").applyInPandas(of_group, schema)
+
+    found = moves.toArrow()
+    both = pa.chunked_array([*found["u"].chunks, *found["v"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    codes, half = both.indices.to_numpy(), found.num_rows
+    graph = moves.sparkSession.sparkContext.broadcast((codes[:half], codes[half:], found["p"].to_numpy(), both.dictionary.to_pylist()))
+
+    def of_seeds(pages):
+        source, target, p, names = graph.value
+        names = np.array(names, object)
+        place = {name: i for i, name in enumerate(names)}
+        for page in pages:
+            for seed in page["seed"]:
+                if seed in place:
+                    yield shown(seed, names, _walk(source, target, p, len(names), place[seed], steps, alpha))
+
+    return start.select("seed").repartition("seed").mapInPandas(of_seeds, schema)
+
+
+def pagerank(adj: DataFrame, seeds: DataFrame, steps: int = STEPS, alpha: float = ALPHA, by_seed: bool = False, few: int = FEW_EDGES) -> DataFrame:
+    """seed, path, score: random walks with restart at each seed.
 
     adj: u, v, weight, and seed if each seed has a graph of its own (by_seed). A node without edges returns its mass to the
-    seed. Mass is 1 throughout, so the restart is one constant row a seed, and each step reads the last one once. Lineage is cut
-    every ten steps.
+    seed. Graphs counted to have at most `few` edges are walked as arrays, all seeds in parallel. Larger ones are walked by one
+    loop of `steps` equi-joins for all seeds: mass is 1 throughout, so the restart is one constant row a seed, each step reads the
+    last one once, and lineage is cut every ten steps.
     """
     key = ["seed", "u"] if by_seed else ["u"]
     out = adj.groupBy(*key).agg(F.sum("weight").alias("degree"))
     moves = cut(adj.join(out, key).select(*key, "v", (F.col("weight") / F.col("degree") * alpha).alias("p")))
     start = cut(seeds.select("seed").distinct()).withColumn("u", F.col("seed"))
+    edges = moves.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] if by_seed else moves.count()
+    if (edges or 0) <= few:
+        return _small_walks(moves, start, steps, alpha, by_seed)
     rank, restart = start.withColumn("r", F.lit(1.0)), start.withColumn("r", F.lit(1 - alpha))
     for step in range(1, steps + 1):
         joined = rank.join(moves, key, "left")

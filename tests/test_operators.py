@@ -168,3 +168,13 @@ def test_options_are_checked():
     for bad in ({"half_life_days": math.nan}, {"max_items": 0}, {"mode": "x"}, {"min_confidence": "x"}, {"min_confidence": "high", "fail_on_confidence": "low"}):
         with pytest.raises(UsageError):
             Options(**bad)
+
+
+def test_walks_as_arrays_and_by_joins_agree(spark):
+    edges = [("a", "b", 1.0), ("b", "c", 2.0), ("c", "d", 0.5), ("a", "d", 3.0), ("x", "y", 1.0)]
+    adj = spark.createDataFrame([e for u, v, w in edges for e in ((u, v, w), (v, u, w))], "u string, v string, weight double")
+    seeds = spark.createDataFrame([("a",), ("x",), ("alone",)], "seed string")
+    for by_seed in (False, True):
+        graph_ = adj.crossJoin(seeds) if by_seed else adj
+        found = [{(r.seed, r.path): round(r.score, 9) for r in scorers.pagerank(graph_, seeds, by_seed=by_seed, few=few).collect()} for few in (1000, 0)]
+        assert found[0] == found[1] and {s for s, _ in found[0]} == {"a", "x"} and len(found[0]) == 4
