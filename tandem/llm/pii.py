@@ -43,6 +43,7 @@ HINTS = {
     "card": r"(?i)(?:card|visa|amex|master\w*|credit|pay\w*)\W{0,4}\w{0,6}\W{0,3}$",
     "phone": r"(?i)(?:tel\w*|phone|call|fax|mobile|cell|whatsapp)\W{0,4}\w{0,4}\W{0,2}$",
 }
+RUN = 256
 FEATURES = ("length", "digits", "dots", "dashes", "blanks", "brackets", "slashes", "groups", "longest", "octets", "luhn", "hint", "lead", "trail")
 _SPANS = "array<struct<start:int,end:int,text:string>>"
 
@@ -52,7 +53,10 @@ def _parts(text: Column, pattern: str) -> Column:
 
 
 def located(parts: Column) -> Column:
-    """Spans of the odd parts: code-point start, end and text of each match, in order."""
+    """Spans of the odd parts: code-point start, end and text of each match, in order.
+
+    Matches are placed in runs of RUN, and the runs then one after another, as an array that grows is copied each time.
+    """
 
     def step(state: Column, i: Column) -> Column:
         start = state["at"] + F.length(F.get(parts, i - 1))
@@ -62,8 +66,19 @@ def located(parts: Column) -> Column:
 
     none = F.array().cast(_SPANS)
     first = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    every = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
-    return F.when(F.size(parts) > 1, F.aggregate(every, first, step, lambda s: s["out"])).otherwise(none)
+    last = F.size(parts) - 2
+    runs = F.transform(F.sequence(F.lit(1), last, F.lit(2 * RUN)), lambda lo: F.aggregate(F.sequence(lo, F.least(lo + 2 * RUN - 2, last), F.lit(2)), first, step))
+
+    def after(state: Column, run: Column) -> Column:
+        return F.struct((state["at"] + run["at"]).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
+
+    def moved(run: Column, by: Column) -> Column:
+        return F.transform(run["out"], lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["text"].alias("text")))
+
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    many = F.flatten(F.zip_with(runs, F.aggregate(runs, begun, after, lambda s: s["starts"]), moved)).cast(_SPANS)
+    one = F.aggregate(F.sequence(F.lit(1), last, F.lit(2)), first, step, lambda s: s["out"])
+    return F.when(F.size(parts) <= 1, none).when(F.size(parts) <= 2 * RUN, one).otherwise(many)
 
 
 def digits_of(text: Column) -> Column:
@@ -281,18 +296,21 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: doc_id, base and spans, arrays of (start, end, kind) in order of start, then kind.
 
     Offsets are code points, ends exclusive. base holds the validated pattern matches, leftmost and not overlapping within
-    a kind; spans adds the selected candidates that overlap no base span. Null and empty texts have none. Repeated rows are
+    a kind; spans adds the selected candidates that overlap no base span; of candidates of several kinds that overlap the one
+    furthest above its kind's threshold is taken first. Very long texts are searched whole. Null and empty texts have none. Repeated rows are
     each looked at, a null id stays null, other columns are ignored.
     """
     trained = model(docs.sparkSession)
-    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), MARK, SPARE)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
+    own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kept = ["own_text"] * keep_text
+    # the mark that parts a text must not stand in it; code points keep their places
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[own.alias(c) for c in kept], F.translate(own, MARK, SPARE).alias("t"))
     t = F.col("t")
     # each step is a column of its own: a lambda over an expression would part the text again at every match
     rows = rows.select("*", *[base_parts(t, kind).alias(f"b_{kind}") for kind in KINDS], *[wide_parts(t, kind).alias(f"w_{kind}") for kind in KINDS])
-    rows = rows.select("doc_id", "t", *[located(F.col(f"{side}_{kind}")).alias(f"{side}_{kind}") for side in "bw" for kind in KINDS])
+    rows = rows.select("doc_id", *kept, "t", *[located(F.col(f"{side}_{kind}")).alias(f"{side}_{kind}") for side in "bw" for kind in KINDS])
     rows = rows.select(
-        "doc_id", "t", *[F.filter(f"b_{kind}", _validated(kind)).alias(f"b_{kind}") for kind in KINDS],
+        "doc_id", *kept, "t", *[F.filter(f"b_{kind}", _validated(kind)).alias(f"b_{kind}") for kind in KINDS],
         *[F.transform(f"w_{kind}", _candidate(t, kind)).alias(f"w_{kind}") for kind in KINDS],
     )
     span = "struct<start:int,rank:int,end:int,kind:string>"
@@ -308,12 +326,17 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if threshold == float("inf"):
             continue
         clear = "not exists(base, b -> b.start < w.end and w.start < b.end)"
-        chosen = f"filter(filter(w_{kind}, w -> {clear}), w -> aggregate(array(w.f), 0D, (total, c) -> total + {score}) >= {threshold!r}D)"
-        more.append(tagged(chosen, kind))
-    rows = rows.withColumn("added", F.expr("concat(" + ", ".join([*more, f"cast(array() as array<{span}>)"]) + ")"))
-    # of candidates of several kinds that overlap, the first in the order of KINDS is reported
-    first = "filter(added, a -> not exists(added, o -> o.rank < a.rank and o.start < a.end and a.start < o.end))"
-    return rows.select("doc_id", *["t"] * keep_text, "base", F.expr(f"array_sort(concat(base, {first}))").alias("spans"))
+        above = f"aggregate(array(w.f), 0D, (total, c) -> total + {score}) - {threshold!r}D"
+        scored = f"transform(filter(w_{kind}, w -> {clear}), w -> named_struct('below', -({above}), 'start', w.start, 'rank', {KINDS.index(kind)}, 'end', w.end, 'kind', '{kind}'))"
+        more.append(f"filter({scored}, a -> a.below <= 0)")
+    wide = f"array<struct<below:double,{span.removeprefix('struct<')}>"
+    rows = rows.withColumn("added", F.expr("concat(" + ", ".join([*more, f"cast(array() as {wide})"]) + ")"))
+    met = "o.start < a.end and a.start < o.end"
+    rows = rows.withColumn("clash", F.expr(f"filter(added, a -> exists(added, o -> o.rank <> a.rank and {met}))"))
+    taken = f"aggregate(array_sort(clash), cast(array() as {wide}), (kept, a) -> if(exists(kept, o -> {met}), kept, concat(kept, array(a))))"
+    alone = "if(size(clash) = 0, added, array_except(added, clash))"
+    plain = "a -> named_struct('start', a.start, 'rank', a.rank, 'end', a.end, 'kind', a.kind)"
+    return rows.select("doc_id", *kept, "base", F.expr(f"array_sort(concat(base, transform(concat({alone}, {taken}), {plain})))").alias("spans"))
 
 
 def listed(spans: str) -> Column:
@@ -327,7 +350,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         "doc_id",
         F.expr(
             "aggregate(spans, named_struct('at', 0, 'out', ''), (a, s) -> if(s.start < a.at, a, named_struct('at', s.end, 'out', "
-            "concat(a.out, substring(t, a.at + 1, s.start - a.at), '<', s.kind, '>'))), a -> concat(a.out, substring(t, a.at + 1)))"
+            "concat(a.out, substring(own_text, a.at + 1, s.start - a.at), '<', s.kind, '>'))), a -> concat(a.out, substring(own_text, a.at + 1)))"
         ).alias("redacted"),
     )
 

@@ -2,35 +2,10 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none (tests in local mode) a temporary folder is made, one for the process.
-    """
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
-
-
-@functools.lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="tandem-")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back with the same schema.
-
-    The files survive lost executors; they stay until the owner of the folder removes them.
-    """
-    path = f"{shared_root(df.sparkSession)}/tandem/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..plans.checkpoints import shared_root, written  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

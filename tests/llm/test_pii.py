@@ -50,3 +50,15 @@ def test_held_out_synthetic_precision_and_redaction(spark):
     assert all(0.0 <= threshold < float("inf") for _, threshold in trained.values())
     out = {r.doc_id: r.redacted for r in pii.redact(frame(spark, MORE[:3] + [(1, None)])).collect()}
     assert out[41] == "9999.1.2.3 256.1.1.1 <ip> call <phone> now" and out[1] == ""
+
+
+def test_added_spans_do_not_overlap_and_the_text_is_kept(spark):
+    rows = MORE + [(50, "call 00 4111 1111 1111 1111 or 10 [.] 0 . 0 . 1 (988) 555-2485/10.0.0.1.22 at 4111.1111.1111.1111 now " * 90), (51, "\x01 mail x@y.de \x01\x02 end")]
+    for r in pii.personal_data(frame(spark, rows)).collect():
+        base = {(s.start, s.end, s.kind) for s in r.base}
+        added = sorted((s.start, s.end) for s in r.spans if (s.start, s.end, s.kind) not in base)
+        assert all(a[1] <= b[0] for a, b in zip(added, added[1:]))
+        assert all(e <= s or b >= t for b, e in added for s, t, _ in base)
+        assert [(s.start, s.rank) for s in r.spans] == sorted((s.start, s.rank) for s in r.spans)
+    out = {r.doc_id: r.redacted for r in pii.redact(frame(spark, rows)).collect()}
+    assert out[51] == "\x01 mail <email> \x01\x02 end" and "\x01" in out[42]
