@@ -241,7 +241,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     hit = contamination(texts, benchmark, "key", **options).where("size(spans) > 0").select(F.col("doc_id").alias("__hit")).distinct()
     keyed = docs.withColumn("__text_key", text_key(F.col(text_col)))
-    return keyed.join(hit, F.col("__text_key") == F.col("__hit"), "left_anti").drop("__text_key")
+    return keyed.join(hit.hint("shuffle_hash"), F.col("__text_key") == F.col("__hit"), "left_anti").drop("__text_key")
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -166,7 +166,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     rejected = score(texts, fit(docs, labels, id_col, text_col), "key", **options).where("predicted = 0").select(F.col("doc_id").alias("__gone")).distinct()
     keyed = docs.withColumn("__text_key", text_key(F.col(text_col)))
-    return keyed.join(rejected, F.col("__text_key") == F.col("__gone"), "left_anti").drop("__text_key")
+    return keyed.join(rejected.hint("shuffle_hash"), F.col("__text_key") == F.col("__gone"), "left_anti").drop("__text_key")
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

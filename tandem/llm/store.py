@@ -21,12 +21,12 @@ def without(docs: DataFrame, id_col: str, text_col: str, told: DataFrame) -> Dat
     """The rows of docs that stay by `told` (doc_id, text_key, gone, rows), columns unchanged.
 
     Rows are known by id and text together; null ids are equal. Rows that told does not have stay. Of `rows` equal rows that are not gone
-    one stays, whichever (they may differ in other columns).
+    one stays, whichever (they may differ in other columns). The join is by shuffle at every size, and texts are not sorted for it.
     """
     told = written(told.where("gone or rows > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "gone"), "told")
     own = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key"))
     keyed = docs.withColumn("__text_key", text_key(F.col(text_col))).withColumn("__own", F.col(id_col).cast(told.schema["__id"].dataType))
-    stay = keyed.join(told.select("__id", "__key"), own, "left_anti").select(*docs.columns)
+    stay = keyed.join(told.select("__id", "__key").hint("shuffle_hash"), own, "left_anti").select(*docs.columns)
     repeated = told.where("not gone")
     if repeated.isEmpty():
         return stay
