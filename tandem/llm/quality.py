@@ -11,9 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytetext as bt
-from .store import documents, text_key
+from .store import documents, numbered, renamed
 
 BITS = 18
 SAMPLE = 4000
@@ -133,6 +134,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train_ftrl([(label[k], index[at[k] : at[k + 1]], value[at[k] : at[k + 1]]) for k in range(len(label))], bits)
 
 
+def _with_score(rows: DataFrame, weights: np.ndarray, carried: int, text_at: int, bits: int) -> DataFrame:
+    """The first `carried` columns of rows, unchanged, and the score of the text (a string) in column text_at."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    fields = [*rows.schema.fields[:carried], T.StructField("score", T.DoubleType())]
+    names = [f.name for f in fields]
+
+    def run(batches):
+        w = shared.value
+        for batch in batches:
+            out = []
+            for _, _, data, offsets in bt.slices(batch.column(text_at)):
+                index, first = features(data, offsets, bits)
+                total = np.concatenate(([0.0], np.cumsum(w[index], dtype=np.float64)))
+                logit = (total[first[1:]] - total[first[:-1]]) * SCALE / np.maximum(1, np.diff(first)) + w[-1]
+                out.append(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
+            score = pa.array(np.concatenate(out or [np.zeros(0)]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(carried)), score], names)
+
+    return rows.mapInArrow(bt.frugal(run), T.StructType(fields))
+
+
 def score(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
@@ -144,29 +166,23 @@ def score(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", t
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")
     if weights is None:
         return rows.select("doc_id", held, F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-
-    def run(batches):
-        w = shared.value
-        for batch in batches:
-            out = []
-            for _, _, data, offsets in bt.slices(batch.column(1)):
-                index, first = features(data, offsets, bits)
-                total = np.concatenate(([0.0], np.cumsum(w[index], dtype=np.float64)))
-                logit = (total[first[1:]] - total[first[:-1]]) * SCALE / np.maximum(1, np.diff(first)) + w[-1]
-                out.append(1 / (1 + np.exp(-np.clip(logit, -35, 35))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out or [np.zeros(0)]))], ["doc_id", "score"])
-
-    scored = rows.mapInArrow(bt.frugal(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = _with_score(rows, weights, 1, 1, bits)
     return scored.select("doc_id", held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that the classifier accepts, columns unchanged. A row is judged by its own text, whatever its id."""
-    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    rejected = score(texts, fit(docs, labels, id_col, text_col), "key", **options).where("predicted = 0").select(F.col("doc_id").alias("__gone")).distinct()
-    keyed = docs.withColumn("__text_key", text_key(F.col(text_col)))
-    return keyed.join(rejected.hint("shuffle_hash"), F.col("__text_key") == F.col("__gone"), "left_anti").drop("__text_key")
+def quality_filter(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD, bits: int = BITS
+) -> DataFrame:
+    """The rows of docs that the classifier accepts, columns unchanged. A row is judged by its own text, whatever its id.
+
+    Whole rows go through the scoring, so there is no shuffle, however many rows share a text. Null and empty texts get the score
+    of the bias; without labelled rows nothing is rejected.
+    """
+    weights = fit(docs, labels, id_col, text_col, bits=bits)
+    if weights is None:
+        return docs
+    rows, at = numbered(docs, text_col)
+    return renamed(_with_score(rows, weights, len(docs.columns), at, bits).where(F.col("score") >= threshold), docs)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

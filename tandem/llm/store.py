@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.checkpoints import shared_root, written  # noqa: F401
 
@@ -17,6 +18,20 @@ def text_key(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
+def numbered(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """docs with its columns named c0, c1, ..., whatever their names, and the place of the text as a string among them, or after them."""
+    names = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).cast("string").alias("text"))
+    if text_col in names and docs.schema[text_col].dataType == T.StringType():  # sent to the workers once
+        return rows.drop("text"), names.index(text_col)
+    return rows, len(names)
+
+
+def renamed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of numbered() rows under the names they have in docs."""
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def without(docs: DataFrame, id_col: str, text_col: str, told: DataFrame) -> DataFrame:
     """The rows of docs that stay by `told` (doc_id, text_key, gone, rows), columns unchanged.
 

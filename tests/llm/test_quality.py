@@ -95,3 +95,21 @@ def test_rows_are_judged_by_their_own_text(spark):
     rows = [(i, f"{good if i % 2 else bad} {i}") for i in range(100, 160)] + [(None, bad), (None, good), (7, bad), (7, good)]
     kept = [(r.doc_id, r.text) for r in quality.quality_filter(frame(spark, rows), labels).collect()]
     assert (None, good) in kept and (7, good) in kept and (None, bad) not in kept and (7, bad) not in kept
+
+
+def test_filter_returns_whole_rows_without_a_shuffle(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 160)], "doc_id long, quality int")
+    rows = [(i, f"a calm sentence about the harbour and its boats {i}" if i % 2 else f"BUY NOW $$$ !!! $$$ BUY BUY {i}") for i in range(100, 160)]
+    docs = frame(spark, rows + [(1, None)])
+    docs = docs.select("*", F.col("text").alias("c1"), F.lit(None).cast("string").alias("a b.c"), F.array(F.struct("key", "doc_id")).alias("held_out"),
+                       F.timestamp_seconds(F.col("uid")).alias("at"), F.col("score").cast("decimal(9,3)").alias("predicted"),
+                       F.to_date(F.lit("1900-01-02")).alias("day"), F.create_map("kept", "uid").alias("counts"), F.encode("text", "utf-8").alias("raw"))
+    docs = docs.select("*", *[F.lit(i).alias(f"more{i}") for i in range(30)])
+    got = quality.quality_filter(docs, labels)
+    assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    scored = quality.score(docs, quality.fit(docs, labels)).collect()
+    good = {r.doc_id for r in scored if r.predicted}
+    assert 0 < len(good) < len(rows)
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id in good)
+    assert quality.quality_filter(docs.limit(0), labels).count() == 0
