@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytetext as bt
-from .store import documents, text_key, written
+from .store import documents, numbered, renamed, text_key, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -116,13 +117,13 @@ def find(test: TestItems, hashes: np.ndarray, first: np.ndarray):
     return position, which, length
 
 
-def _scan(items, window: int):
+def _scan(items, window: int, carried: int, text_at: int, names_out: list[str]):
     def run(batches):
         test = TestItems(items.value, window)
         names = np.array(test.names, object)
         for batch in batches:
             counts, edges, spans, item_rows, item_edges, best = [], [0], [], [], [0], []
-            for lo, hi, data, offsets in bt.slices(batch.column(1), SHARD_BYTES):
+            for lo, hi, data, offsets in bt.slices(batch.column(text_at), SHARD_BYTES):
                 hashes, first = bt.words(data, offsets)
                 position, which, length = find(test, hashes, first)
                 row = np.searchsorted(first, position, "right") - 1
@@ -150,10 +151,10 @@ def _scan(items, window: int):
             none = [np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(np.concatenate(counts or none).astype(np.int64)), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(spans or none).astype(np.int64))),
+                    *(batch.column(i) for i in range(carried)), pa.array(np.concatenate(counts or none).astype(np.int64)), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(spans or none).astype(np.int64))),
                     pa.ListArray.from_arrays(pa.array(item_edges, pa.int32()), pa.array(item_rows, pa.string())),
                     pa.array([x[0] for x in best], pa.int64()), pa.array([x[1] for x in best], pa.int64()), pa.array([x[2] for x in best], pa.string()),
-                ], ["doc_id", *RESULT],
+                ], names_out,
             )
 
     return bt.frugal(run)
@@ -167,10 +168,26 @@ _JOINED = (  # the ranges in order, those that touch made one
 )
 
 
-def _found(texts: DataFrame, block: list[tuple[str, str]], window: int) -> DataFrame:
+def _found(texts: DataFrame, block: list[tuple[str, str]], window: int, carried: int = 1, text_at: int = 1) -> DataFrame:
+    """The first `carried` columns of texts, unchanged, and RESULT for the text (a string) in column text_at."""
     source = texts.sparkSession.sparkContext.broadcast(block)
-    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{k} {t}" for k, t in RESULT.items())
-    return texts.mapInArrow(_scan(source, window), schema)
+    fields = [*texts.schema.fields[:carried], *T.StructType.fromDDL(", ".join(f"{k} {t}" for k, t in RESULT.items())).fields]
+    return texts.mapInArrow(_scan(source, window, carried, text_at, [f.name for f in fields]), T.StructType(fields))
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int):
+    """How many blocks the items make, and a function that collects one, of about block_bytes."""
+    items = benchmark.select(
+        F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(item_text_col).cast("string").alias("text")
+    ).where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // block_bytes))
+
+    def block(k: int) -> list[tuple[str, str]]:
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        return [(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()]
+
+    return blocks, block
 
 
 def contamination(
@@ -187,16 +204,7 @@ def contamination(
     each looked at; repeated ids of items count once. An empty benchmark hits nothing, an empty table has no rows. Other columns are
     ignored. Words are compared by 64-bit hashes, and texts met in several blocks are known by SHA-256.
     """
-    items = benchmark.select(
-        F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(item_text_col).cast("string").alias("text")
-    ).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // block_bytes))
-
-    def block(k: int) -> list[tuple[str, str]]:
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        return [(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()]  # about block_bytes
-
+    blocks, block = _blocks(benchmark, item_col, item_text_col, block_bytes)
     text = F.col(text_col).cast("string").alias("text")
     if blocks == 1:
         return _found(docs.select(F.col(id_col).alias("doc_id"), text), block(0), window)
@@ -236,10 +244,22 @@ def flagged(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without any hit, columns unchanged. A row is judged by its own text, whatever its id."""
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", *, item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of docs without any hit, columns unchanged. A row is judged by its own text, whatever its id.
+
+    Against one block of items whole rows go through the search and nothing is shuffled; against more, the texts with a hit in
+    any block are known by SHA-256 and their rows removed by a join. Null and empty texts stay.
+    """
+    blocks, block = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    if blocks == 1:
+        rows, at = numbered(docs, text_col)
+        return renamed(_found(rows, block(0), window, len(docs.columns), at).where("size(spans) = 0"), docs)
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
-    hit = contamination(texts, benchmark, "key", **options).where("size(spans) > 0").select(F.col("doc_id").alias("__hit")).distinct()
+    found = contamination(texts, benchmark, "key", item_col=item_col, item_text_col=item_text_col, window=window, block_bytes=block_bytes)
+    hit = found.where("size(spans) > 0").select(F.col("doc_id").alias("__hit")).distinct()
     keyed = docs.withColumn("__text_key", text_key(F.col(text_col)))
     return keyed.join(hit.hint("shuffle_hash"), F.col("__text_key") == F.col("__hit"), "left_anti").drop("__text_key")
 

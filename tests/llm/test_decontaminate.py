@@ -61,5 +61,13 @@ def test_removal_and_empty_tables(spark):
 
 def test_rows_are_judged_by_their_own_text(spark):
     rows = [(None, BASE), (None, "clean text"), (3, "fine"), (3, BASE)]
-    kept = decontaminate.decontaminate(frame(spark, rows), benchmark(spark)).collect()
-    assert sorted((r.text for r in kept)) == ["clean text", "fine"]
+    for size in (16 << 20, 60):
+        kept = decontaminate.decontaminate(frame(spark, rows), benchmark(spark), block_bytes=size).collect()
+        assert sorted((r.text for r in kept)) == ["clean text", "fine"]
+
+
+def test_removal_in_one_and_many_blocks_is_the_same(spark):
+    docs = frame(spark).selectExpr("*", "text as spans", "doc_id as `n words.x`", "cast(null as array<struct<a: int>>) as c0", "timestamp_seconds(uid) as items")
+    one, many = (decontaminate.decontaminate(docs, benchmark(spark), block_bytes=size) for size in (16 << 20, 60))
+    assert one.schema.simpleString() == docs.schema.simpleString() and "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect())) and one.count() > 0
