@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MAX, HALF, SINCE, TEST, TRAIN = 6, 365, 883612800, 60, 3000
+MAX, HALF, SINCE, TEST, TRAIN = 6, 365, 883612800, 200, 3000
 
 _PART = (
     "lower(p_type) || '/' || lower(replace(p_brand, '#', '')) || '/' || replace(p_name, ' ', '-') || '-' || p_partkey || "

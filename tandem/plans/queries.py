@@ -14,7 +14,7 @@ from .datasets import dense, sparse, table
 DENSE = Options(max_items=6, evidence=3, top=5, max_baskets=0)
 SINCE = 883612800  # 1998-01-01
 EXCLUDE = ("*.lock", "economy/*", "red-*")
-TEST, TRAIN = 60, 3000
+TEST, TRAIN = 200, 3000
 
 
 def six(*names: str):
