@@ -180,8 +180,10 @@ SELECT mode, count(*) AS tasks, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 E
   round(avg(hits / n_targets), 6) AS recall_at_k, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(results), 6) AS avg_results FROM hit GROUP BY mode"""
 
 
-_AUDIT_EVAL = f"""{split('dense')}, {_TRAIN_SEEDS},
-r AS (SELECT * FROM {rank('d', 64)}),
+def audit_eval(graph: str, source: str) -> str:
+    """tasks, shown: leave-one-out audits over the ranking `source` (seed, path, co, score)."""
+    return f"""{split('dense')}, {graph},
+r AS (SELECT * FROM {rank(source, 64)}),
 ki AS (SELECT ord, path FROM tests WHERE is_known AND n_known >= 2),
 tasks AS (SELECT ord, path AS omitted FROM ki),
 f AS (SELECT t.ord, t.omitted, r.* FROM tasks t JOIN ki ON ki.ord = t.ord AND ki.path <> t.omitted JOIN r ON r.seed = ki.path
@@ -189,6 +191,17 @@ f AS (SELECT t.ord, t.omitted, r.* FROM tasks t JOIN ki ON ki.ord = t.ord AND ki
 c AS (SELECT ord, omitted, path, {BAND.format('max(co)')} AS confidence, count(DISTINCT seed) AS support_count, sum(co) AS cochanges, sum(score) AS score FROM f GROUP BY ord, omitted, path),
 shown AS (SELECT *, row_number() OVER (PARTITION BY ord, omitted ORDER BY {ORDER}) AS rank FROM c QUALIFY rank <= 5)"""
 
+
+def audit_metrics(tasks: str, mode: str) -> str:
+    return f"""WITH {tasks},
+kept AS (SELECT *, row_number() OVER (PARTITION BY ord, omitted ORDER BY rank) AS place FROM shown WHERE confidence <> 'low'),
+t AS (SELECT tasks.ord, tasks.omitted, count(path) AS results, min(CASE WHEN path = tasks.omitted THEN place END) AS first FROM tasks LEFT JOIN kept ON kept.ord = tasks.ord AND kept.omitted = tasks.omitted GROUP BY ALL)
+SELECT '{mode}' AS mode, count(*) AS tasks, count(first) AS hits_at_k, round(count(first) / count(*), 6) AS hit_rate_at_k, round(count(first) / 5.0 / count(*), 6) AS precision_at_k,
+  round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(results), 6) AS avg_results, round(avg(results - CASE WHEN first IS NULL THEN 0 ELSE 1 END), 6) AS avg_false_positives,
+  round(count(*) FILTER (results = 0) / count(*), 6) AS abstention_rate FROM t"""
+
+
+_AUDIT_EVAL = audit_eval(_TRAIN_SEEDS, "d")
 _CHAIN = """
 rec AS (SELECT 10 - c_custkey % 8 AS ord, 0 AS pos, 'n/' || c_custkey AS old_path, 'n/' || CASE WHEN c_custkey % 50 = 49 THEN c_custkey - 3 ELSE c_custkey + 1 END AS new_path
   FROM customer WHERE c_custkey % 8 <> 7 OR c_custkey % 50 = 49
@@ -290,12 +303,7 @@ SELECT old_path, path AS new_path FROM af JOIN gone USING (blob) WHERE path NOT
   count(*) FILTER (NOT is_known) AS skipped_unknown_targets, count(*) FILTER (is_known AND n_known < 2) AS skipped_insufficient_known_files FROM tests""",
     "eval_query_on_demand": query_metrics("dense", f"{_TRAIN_SEEDS}, h AS (SELECT seed, path, hot AS score FROM d), {similar('known', 'known', 'path')}, p AS (SELECT sim.* FROM sim JOIN d USING (seed, path))".replace("sim.*", "sim.seed, sim.path, sim.score"), {"direct": "d", "hot": "h", "path": "p"}),
     "eval_query_global": query_metrics("dense", f"{_TRAIN_GLOBAL}, h AS (SELECT x.path AS seed, y.path AS path, y.mass AS score FROM items x, items y WHERE x.path <> y.path), {similar('known', 'known', 'path')}", {"direct": "d", "hot": "h", "path": "sim"}),
-    "eval_audit_metrics": f"""WITH {_AUDIT_EVAL},
-kept AS (SELECT *, row_number() OVER (PARTITION BY ord, omitted ORDER BY rank) AS place FROM shown WHERE confidence <> 'low'),
-t AS (SELECT tasks.ord, tasks.omitted, count(path) AS results, min(CASE WHEN path = tasks.omitted THEN place END) AS first FROM tasks LEFT JOIN kept ON kept.ord = tasks.ord AND kept.omitted = tasks.omitted GROUP BY ALL)
-SELECT 'direct' AS mode, count(*) AS tasks, count(first) AS hits_at_k, round(count(first) / count(*), 6) AS hit_rate_at_k, round(count(first) / 5.0 / count(*), 6) AS precision_at_k,
-  round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(results), 6) AS avg_results, round(avg(results - CASE WHEN first IS NULL THEN 0 ELSE 1 END), 6) AS avg_false_positives,
-  round(count(*) FILTER (results = 0) / count(*), 6) AS abstention_rate FROM t""",
+    "eval_audit_metrics": audit_metrics(_AUDIT_EVAL, "direct"),
     "eval_audit_band_metrics": f"""WITH {_AUDIT_EVAL},
 g AS (SELECT confidence, ord, omitted, count(*) AS n, count(*) FILTER (path = omitted) AS hit FROM shown GROUP BY ALL),
 x AS (SELECT confidence, CAST(sum(n) AS BIGINT) AS candidates, CAST(sum(hit) AS BIGINT) AS correct, count(*) AS tasks, count(*) FILTER (hit > 0) AS hits FROM g GROUP BY confidence)
@@ -346,3 +354,9 @@ SELECT path, {_SHOWN} FROM (SELECT * FROM c ORDER BY {ORDER} LIMIT 20)"""
 ORACLES["eval_query_pagerank"] = query_metrics(
     "dense", f"{_TRAIN_SEEDS}, {_SEED_GRAPH}, seeds AS (SELECT DISTINCT path AS seed FROM tests WHERE is_known AND n_known >= 2), {walks('seeds', 30, True)}", {"pagerank": "pr"}
 )
+_EVAL_SEEDS = "seeds AS (SELECT DISTINCT path AS seed FROM tests WHERE is_known AND n_known >= 2)"
+ORACLES["eval_query_global_pagerank"] = query_metrics(
+    "dense", f"{_TRAIN_GLOBAL}, adj AS (SELECT seed AS u, path AS v, weight FROM pairs), {DEGREE}, {_EVAL_SEEDS}, {walks('seeds', 30)}", {"pagerank": "pr"}
+)
+_WALKED = f"{_TRAIN_SEEDS}, {_SEED_GRAPH}, {_EVAL_SEEDS}, {walks('seeds', 30, True)}, x AS (SELECT pr.seed, pr.path, pr.score, coalesce(co, 0) AS co FROM pr LEFT JOIN d USING (seed, path))"
+ORACLES["eval_audit_pagerank_metrics"] = audit_metrics(audit_eval(_WALKED, "x"), "pagerank").replace("WITH ", "WITH RECURSIVE ", 1)

@@ -371,15 +371,18 @@ def eval_audit_counters(spark, d):
     return evaluate.audit_counters(test, train, DENSE)
 
 
-def _audit_eval(spark, d):
+def _audit_eval(spark, d, mode="direct"):
     test, train = history.split(dense(spark, d), TEST, TRAIN)
-    return evaluate.audit_candidates(test, train, DENSE, "direct")
+    return evaluate.audit_candidates(test, train, DENSE, mode)
 
 
-def eval_audit_metrics(spark, d):
-    tasks, shown = _audit_eval(spark, d)
-    rows = evaluate.audit_metrics(tasks, shown, DENSE, "direct")
-    return rows.select("mode", "tasks", "hits_at_k", *six("hit_rate_at_k", "precision_at_k", "mrr", "avg_results", "avg_false_positives", "abstention_rate"))
+def _audit_metrics(mode: str):
+    def query(spark, d):
+        tasks, shown = _audit_eval(spark, d, mode)
+        rows = evaluate.audit_metrics(tasks, shown, DENSE, mode)
+        return rows.select("mode", "tasks", "hits_at_k", *six("hit_rate_at_k", "precision_at_k", "mrr", "avg_results", "avg_false_positives", "abstention_rate"))
+
+    return query
 
 
 def eval_audit_band_metrics(spark, d):
@@ -432,11 +435,12 @@ QUERIES = {
         exclude_then_topk, broad_change_hint, explain_pair, explain_unrelated, resolve_path_suffix, resolve_path_ambiguous, audit_candidates,
         audit_eligible, audit_pagerank, audit_evidence, audit_candidates_with_evidence, diff_evidence, explain_evidence, multi_seed_follow, audit_filtered_count, audit_enforcement, diff_aggregate, worktree_changed_set,
         changed_name_set, rename_follow_exact, staged_rename_mapping, rename_exact_blob, rename_alias_closure, eval_known_items, eval_split,
-        eval_query_counters, eval_audit_counters, eval_audit_metrics, eval_audit_band_metrics, bounded_scan_cut, history_coverage, path_normalise,
+        eval_query_counters, eval_audit_counters, eval_audit_band_metrics, bounded_scan_cut, history_coverage, path_normalise,
         path_parts, path_tokens, time_decay, confidence_band,
     )
 } | {
     "audit_low": _audit("low", sparse), "audit_medium": _audit("medium"), "audit_high": _audit("high"),
     "eval_query_on_demand": _eval_query("on-demand", ("direct", "hot", "path")), "eval_query_global": _eval_query("global", ("direct", "hot", "path")),
-    "eval_query_pagerank": _eval_query("on-demand", ("pagerank",)),
+    "eval_query_pagerank": _eval_query("on-demand", ("pagerank",)), "eval_query_global_pagerank": _eval_query("global", ("pagerank",)),
+    "eval_audit_metrics": _audit_metrics("direct"), "eval_audit_pagerank_metrics": _audit_metrics("pagerank"),
 }
