@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import ALPHA, STEPS, Options
 from ..functions import paths, scoring
 from ..plans.checkpoints import cut
-from . import graph, history
+from . import graph, history, nearest
 
 #: Scores are ranked after rounding, so that the order of floating-point sums does not decide ties.
 DIGITS = 9
@@ -79,8 +79,12 @@ def hot_on_demand(baskets: DataFrame, seeds: DataFrame | None, options: Options,
 def path_similarity(targets: DataFrame, candidates: DataFrame, top: int | None = None) -> DataFrame:
     """seed, path, score, rank by cosine of name tokens, plus 0.25 in one folder; both sides have one column path.
 
-    Pairs come from equal tokens and equal folders, never from all against all: a pair with neither scores 0 and is dropped.
+    Without `top`, pairs come from equal tokens and equal folders: a pair with neither scores 0 and is dropped. With it,
+    frequent tokens are compared by classes of names (see `nearest`).
     """
+    if top is not None:
+        found = nearest.nearest(targets, candidates, top)
+        return ranked(found.select("*", F.lit(0).cast("long").alias("cochanges"), F.lit("path_name_baseline").alias("reason")), top, "seed")
 
     def side(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         rows = df.select(F.col("path").alias(name)).distinct().withColumn("t", F.explode(paths.tokens(F.col(name)))).select(name, "t.token", "t.weight")

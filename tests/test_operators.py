@@ -1,13 +1,14 @@
 """Engine operators on small literal histories with hand-computed results."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tandem.config import Options, UsageError
 from tandem.functions import paths, scoring
-from tandem.operators import changedset, evaluate, explain, graph, history, renames, scorers
+from tandem.operators import changedset, evaluate, explain, graph, history, nearest, renames, scorers
 from tandem.schema import BASKETS
 
 DAY = 86400
@@ -82,6 +83,40 @@ def test_path_similarity(spark):
     assert rounded(scorers.path_similarity(readme, spark.createDataFrame([("LICENSE",)], "path string")), "path", "score") == {("LICENSE",): (0.25,)}
 
 
+@pytest.mark.parametrize("rare,block", [(0, 3), (2, 7), (9, 2048), (64, 2048)])
+def test_nearest_names_are_those_of_all_pairs(spark, rare, block):
+    r = random.Random(rare)
+    names = [f"{r.choice(['', 'src/', 'Src/', 'src/app/', 'lib/x/'])}{r.choice(['new', 'old'])}-{r.choice(['ab', 'cd', 'ef'])}{r.choice(['', '-' + str(r.randrange(30))])}{r.choice(['', '.ts', '.py'])}" for _ in range(220)]
+    df = spark.createDataFrame([(n,) for n in [*names, "a", "", names[0]]], "path string")
+    some = spark.createDataFrame([(n,) for n in [*names[:20], "src/none-ab.rs", "a"]], "path string")
+    for targets, top in ((df, 3), (some, 20)):
+        every = scorers.ranked(scorers.path_similarity(targets, df).drop("rank"), top, "seed")
+        found = scorers.ranked(nearest.nearest(targets, df, top, rare, block), top, "seed")
+        assert [tuple(x) for x in found.select("seed", "rank", "path", "score").orderBy("seed", "rank").collect()] == [
+            tuple(x) for x in every.select("seed", "rank", "path", "score").orderBy("seed", "rank").collect()
+        ]
+
+
+def test_names_that_share_frequent_tokens_are_not_compared_in_pairs(spark):
+    """16000 names with three tokens in common have 256 million pairs: rows of classes and small groups are a few a name."""
+    df = spark.range(16000).select(F.format_string("src/main/folder%d/name-%d.ts", F.col("id") % 4000, "id").alias("path"))
+    seen = {}
+    original = nearest._best
+
+    def best(rows, *more):
+        seen[more[-1]] = rows.count()
+        return original(rows, *more)
+
+    nearest._best = best
+    try:
+        got = scorers.path_similarity(df, df, 3)
+        assert got.groupBy("seed").count().where("count <> 3").isEmpty()
+        assert got.where("rank = 1 and score < 0.9").isEmpty()
+    finally:
+        nearest._best = original
+    assert 0 < seen["first"] < 16000 and 0 < seen["path"] < 16000
+
+
 @pytest.mark.parametrize(
     "pattern,path,hit",
     [("Cargo.lock", "a/Cargo.lock", True), ("a/b", "x/a/b", True), ("b", "ab", False), ("*.lock", "a/b.lock", True), ("a/*", "a/b/c", True), ("a*c", "abd", False), ("x.y", "xzy", False), ("*", "", True)],
