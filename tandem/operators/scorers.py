@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import ALPHA, STEPS, Options
 from ..functions import paths, scoring
 from ..plans.checkpoints import cut
-from . import graph, history, nearest
+from . import graph, history, nearest, walks
 
 #: Scores are ranked after rounding, so that the order of floating-point sums does not decide ties.
 DIGITS = 9
@@ -195,6 +195,19 @@ def pagerank_on_demand(baskets: DataFrame, seeds: DataFrame, options: Options, t
     return ranked(with_direct(scores, direct_on_demand(baskets, seeds, options)), top, "seed")
 
 
+def pagerank_global(baskets: DataFrame, seeds: DataFrame, options: Options, top: int) -> DataFrame:
+    """Ranks over the graph of all baskets, with the direct pair's evidence where there is one.
+
+    Up to 2^26 items of baskets are walked without making pairs (see `walks`); more are walked as one graph by `pagerank`.
+    """
+    seeds = cut(seeds.select("seed").distinct())
+    scores = walks.best_of_all(baskets, seeds, options, top)
+    if scores is None:
+        scores = pagerank(graph.adjacency(graph.pair_stats(baskets, options)), seeds)
+    best = ranked(scores, top, "seed").drop("rank")
+    return ranked(with_direct(best, walks.direct(baskets, seeds, options)), top, "seed")
+
+
 def with_direct(scores: DataFrame, direct: DataFrame) -> DataFrame:
     """Attaches cochanges, weight and last_seen of the direct pair, and the reason."""
     own = direct.select("seed", "path", "cochanges", "weight", "last_seen")

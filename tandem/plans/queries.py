@@ -129,9 +129,7 @@ def pagerank_on_demand(spark, d):
 def pagerank_with_direct_evidence(spark, d):
     b = sparse(spark, d)
     seeds = _newest(b).select(F.col("path").alias("seed"))
-    scores = scorers.pagerank(graph.adjacency(graph.pair_stats(b, DENSE)), seeds)
-    found = scorers.with_direct(scores, scorers.direct_global(b, DENSE).join(seeds, "seed", "left_semi"))
-    return _ranked(scorers.ranked(found, 50, "seed"), "cochanges", "reason")
+    return _ranked(scorers.pagerank_global(b, seeds, DENSE, 50), "cochanges", "reason")
 
 
 def exclude_glob(spark, d):

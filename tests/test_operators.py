@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tandem.config import Options, UsageError
 from tandem.functions import paths, scoring
-from tandem.operators import changedset, evaluate, explain, graph, history, nearest, renames, scorers
+from tandem.operators import changedset, evaluate, explain, graph, history, nearest, renames, scorers, walks
 from tandem.schema import BASKETS
 
 DAY = 86400
@@ -66,6 +66,19 @@ def test_pagerank(five, spark):
     assert alone.count() == 0
 
 
+def test_walks_over_baskets_are_those_over_pairs(spark):
+    """The pair graph is not needed: mass goes through baskets, to the same scores and the same evidence."""
+    r = random.Random(5)
+    rows = baskets(spark, *[(f"h{i}", 200 - i, r.sample("abcdefghijklmnopqrst", r.randint(1, 5))) for i in range(60)], ("z", 1, "z"))
+    seeds = spark.createDataFrame([("a",), ("b",), ("c",), ("z",), ("none",)], "seed string")
+    some = ALL.but(max_items=4)
+    scores = scorers.pagerank(graph.adjacency(graph.pair_stats(rows, some)), seeds)
+    every = scorers.ranked(scorers.with_direct(scores, scorers.direct_global(rows, some).join(seeds, "seed", "left_semi")), 7, "seed")
+    columns = ("seed", "path", "rank", "score", "cochanges", "weight", "last_seen", "reason")
+    assert walks.best_of_all(rows, seeds, some, 7, few_items=10) is None
+    assert rounded(scorers.pagerank_global(rows, seeds, some, 7), *columns) == rounded(every, *columns)
+
+
 def test_chain_reaches_over_the_global_graph_only(spark):
     test = baskets(spark, ("t", 3, "ac"))
     train = baskets(spark, ("x", 2, "ab"), ("y", 1, "bc"))
