@@ -208,7 +208,8 @@ def nearest(targets: DataFrame, candidates: DataFrame, top: int, rare: int = RAR
     ours = ours.select("ours", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     matched = ours.hint("merge").join(theirs, "block").select("ours", "theirs").mapInArrow(_in_blocks(top), "seed_class long, class long, first string, score double")
 
-    member = parted.join(classes.select("key", "class"), "key")
+    # there may be as many classes as names, and keys compress far better than a broadcast's rows
+    member = parted.join(classes.select("key", "class").hint("merge"), "key")
     nth = F.row_number().over(Window.partitionBy("class").orderBy("path"))
     members = member.where("cand").select("class", "path").withColumn("nth", nth).where(F.col("nth") <= top + 1).drop("nth")
     wide = _best(matched, top + 1, "seed_class", "first").join(members, "class").select("seed_class", "path", "score")

@@ -75,7 +75,11 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_once
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as baskets of parts: many items that meet rarely."""
+    """Orders as baskets of parts: many items that meet rarely.
+
+    Joined by shuffle at every size: Spark guesses the names' size from the compressed columns they are made of, some 30 times too low,
+    and would gather all of them on the driver to broadcast them.
+    """
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
-    items = lines.join(part_paths(spark, sf_dir), "p_partkey").select("o_orderkey", "path")
+    items = lines.join(part_paths(spark, sf_dir).hint("merge"), "p_partkey").select("o_orderkey", "path")
     return _history(table(spark, sf_dir, "orders"), items)

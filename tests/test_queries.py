@@ -1,8 +1,9 @@
 """Registered queries against plain Python over the test tables."""
 
+import re
 from collections import defaultdict
 
-from tandem.operators import graph
+from tandem.operators import graph, nearest
 from tandem.plans import datasets, queries
 
 SMALL, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -55,3 +56,22 @@ def test_pagerank_with_direct_evidence_walks_30_steps(spark):
         for (rank, score), (m, _) in zip(sorted(rows.values()), best):
             assert abs(score + m) < 2e-6
         assert all(abs(score - mass[u]) < 2e-6 for u, (_, score) in rows.items())
+
+
+def test_path_similarity_gathers_neither_parts_nor_classes_on_the_driver(spark, monkeypatch):
+    """Broadcasts pass the driver, and Spark's guess of their size is that of compressed files."""
+    plans, write = [], datasets.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(datasets, "written", written)
+    monkeypatch.setattr(nearest, "written", written)
+    monkeypatch.setattr(datasets, "_WRITTEN", {})
+    got = queries.path_similarity_topk(spark, SMALL)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    joined = {(how, key) for plan in plans for how, key in re.findall(r"(\w+Join) \[(\w+)#", plan)}
+    assert {("SortMergeJoin", "p_partkey"), ("SortMergeJoin", "key")} <= joined
+    assert not {("BroadcastHashJoin", "p_partkey"), ("BroadcastHashJoin", "key")} & joined
+    assert not got.isEmpty()
