@@ -34,15 +34,16 @@ def _history(orders: DataFrame, items: DataFrame) -> DataFrame:
     """items: o_orderkey, path. Orders without items are empty baskets."""
     files = items.groupBy("o_orderkey").agg(F.sort_array(F.collect_set("path")).alias("files"))
     time = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
-    baskets = orders.join(files, "o_orderkey", "left").select(
+    narrow = orders.select("o_orderkey", "o_orderdate", "o_orderpriority", time.alias("unix_time"))
+    return with_order(narrow, "unix_time", "o_orderkey").join(files, "o_orderkey", "left").select(  # files are not dealt out by day
+        "ord",
         F.col("o_orderkey").alias("key"),
         F.concat(F.lit("o"), F.col("o_orderkey")).alias("hash"),
-        time.alias("unix_time"),
+        "unix_time",
         F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("date"),
         F.col("o_orderpriority").alias("subject"),
         F.coalesce("files", F.array().cast("array<string>")).alias("files"),
     )
-    return with_order(baskets, "unix_time", "key").select("ord", "key", "hash", "unix_time", "date", "subject", "files")
 
 
 _WRITTEN: dict[tuple[str, str, str, str], str] = {}
@@ -77,7 +78,7 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as baskets of parts: many items that meet rarely.
 
-    Joined by shuffle at every size: Spark guesses the names' size from the compressed columns they are made of, some 30 times too low,
+    Joined by shuffle at every size: Spark guesses the names' size from the compressed columns they are made of, far too low,
     and would gather all of them on the driver to broadcast them.
     """
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))

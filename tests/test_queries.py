@@ -75,3 +75,20 @@ def test_path_similarity_gathers_neither_parts_nor_classes_on_the_driver(spark,
     assert {("SortMergeJoin", "p_partkey"), ("SortMergeJoin", "key")} <= joined
     assert not {("BroadcastHashJoin", "p_partkey"), ("BroadcastHashJoin", "key")} & joined
     assert not got.isEmpty()
+
+
+def test_baskets_are_ordered_before_their_items_are_joined(spark, monkeypatch):
+    """Else all items are dealt out once more, by day."""
+    plans, write = [], datasets.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(datasets, "written", written)
+    monkeypatch.setattr(datasets, "_WRITTEN", {})
+    b = datasets.sparse(spark, SMALL)
+    assert plans[0].index("Join LeftOuter") < plans[0].index("Window [row_number")
+    rows = b.orderBy("ord").collect()
+    assert [(r.unix_time, r.key) for r in rows] == sorted(((r.unix_time, r.key) for r in rows), reverse=True)
+    assert [r.ord for r in rows] == list(range(datasets.table(spark, SMALL, "orders").count()))
