@@ -188,18 +188,6 @@ class WordBpe:
         return [np.frombuffer(b"".join(map(get, own)), np.int32) for own in split]
 
 
-_MODELS: dict[int, WordBpe] = {}
-
-
-def _model(source) -> WordBpe:
-    """One model for each Python worker and broadcast."""
-    key = hash(source.value)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = WordBpe(source.value)
-    return _MODELS[key]
-
-
 def read_model(path: str) -> str:
     """The model file, read on the driver: a fixed size that does not depend on the corpus."""
     with open(path, encoding="utf-8") as file:
@@ -226,14 +214,13 @@ def _mapped(docs: DataFrame, model: str, id_col: str, text_col: str, decoded: bo
     source = docs.sparkSession.sparkContext.broadcast(model)
     names = ["doc_id", "ids", "decoded"][: 2 + decoded]
 
-    def run(batches):
-        bpe = _model(source)
+    def run(batches):  # the model is made for each partition, as an idle worker would keep it
+        bpe = WordBpe(source.value)
         tokens = pa.array(bpe.tokens, pa.large_string())
         for batch in batches:
             for lo, hi, ids in _ids(bpe, batch.column(1)):
                 columns = [batch.column(0).slice(lo, hi - lo), ids, *([_text(tokens, ids)] if decoded else [])]
                 yield pa.RecordBatch.from_arrays(columns, names)
-        bpe.cache.clear()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(bt.frugal(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * decoded)
@@ -259,7 +246,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded string"
 
     def run(batches):
-        tokens = pa.array(_model(source).tokens, pa.large_string())
+        tokens = pa.array(WordBpe(source.value).tokens, pa.large_string())
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)

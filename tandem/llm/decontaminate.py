@@ -20,7 +20,7 @@ from .store import documents, numbered, renamed, text_key, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 class TestItems:
